@@ -28,7 +28,7 @@ from .common import WORD, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BLOCK_ROWS = 32_768
+BLOCK_ROWS = 4096
 FANOUT = 16
 DRAWS, NEAR = 32, 0.002
 SEED = 20_260
@@ -91,7 +91,7 @@ def rounded(sizes: list[int], p: float, seed: str) -> tuple[list[float], int]:
     expected, best = p * sum(sizes), None
     for draw in range(DRAWS):
         part, held = pivot([p] * len(sizes), random.Random(f"{seed}:{draw}"))
-        off = abs(sum(a * b for a, b in zip(part, sizes, strict=True)) - expected)
+        off = abs(sum(a * b for a, b in zip(part, sizes, strict=True)) - expected) + (min(part[held], 1 - part[held]) * sizes[held] if held >= 0 else 0)
         if best is None or off < best[0]:
             best = off, part, held
         if off <= NEAR * expected:
