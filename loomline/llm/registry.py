@@ -17,21 +17,47 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op4_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import perspectives
+
+    return perspectives(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_compression_bands, op6_pivotal_mixing)}
+    return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .chat import ORACLE
+
+    return {"op8_chat_perspectives": ORACLE}

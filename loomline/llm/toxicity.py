@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string-kernel support vector machine.
 
-A text is split into sentences and those into units: lower-cased words without punctuation, runs
-of single letters taken as one ("i d i o t"). Two units are as near as the 3-letter subsequences
+The units of a text are its lower-cased words without punctuation; runs of single letters count as
+words as well ("i d i o t"). Two units are as near as the 3-letter subsequences
 they share, each weighing DECAY to the power of the stretch it spans, so inserted characters and
 gaps lower the similarity but do not end it. The normalised kernel counts from FLOOR on. A unit's
 values against the landmarks (units as well), whitened by the landmarks' own kernel matrix
@@ -41,26 +41,41 @@ LONGEST, STEP = 24, 12
 ROUNDS, RIDGE, HARD = 4, 1e-3, 5
 TELLING, ODDS, GAPPED = 3, 2.5, 20
 SIZE = 64
-MEMO = 300_000
+MEMO, SINGLE = 300_000, -1e9
 
-_SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 _MARKS = re.compile(r"[^\w\s]+|_+")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
-
-
-def units_of(text: str) -> list[list[str]]:
-    """The units of each sentence that has one."""
-    out = []
-    for sentence in _SENTENCE.split(text.lower()):
-        sentence = _MARKS.sub("", sentence)
-        if " " in sentence:
-            sentence = _SPACED.sub(lambda m: m[0].replace(" ", "").replace("\t", ""), sentence)
-        words = sentence.split()
-        if words:
-            out.append(words if max(map(len, words)) <= LONGEST else [x for w in words for x in cut(w)])
+_ENDS = re.compile(r"[.!?]+(?=\s|$)|\n+")
+
+
+def unit(token: str) -> str:
+    """A token in lower case without punctuation."""
+    return _MARKS.sub("", token.lower())
+
+
+def spaced(tokens: list[str], single: list[bool]) -> list[str]:
+    """Words written letter by letter: runs of three and more single letters."""
+    out, run = [], []
+    for t, one in zip([*tokens, ""], [*single, False], strict=True):
+        if one:
+            run.append(unit(t))
+        else:
+            if len(run) > 2:
+                out.append("".join(run))
+            run = []
     return out
 
 
+def units_of(text: str) -> list[str]:
+    """The units of a text: its tokens, and its words written letter by letter."""
+    tokens = text.split()
+    own = [unit(t) for t in tokens]
+    return [x for w in [*own, *spaced(tokens, [len(w) == 1 for w in own])] if w for x in cut(w)]
+
+
+def sentences_of(text: str) -> list[str]:
+    return [s for s in _ENDS.split(text) if s and s.strip()]
+
+
 def cut(word: str) -> list[str]:
     """Overlapping windows of a word longer than LONGEST: nothing of it is lost."""
     return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word) - STEP, STEP)]
@@ -162,8 +177,7 @@ def document_units(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]
     counts = np.zeros(len(texts), np.int64)
     for d, text in enumerate(texts):
         before = len(ids)
-        for words in units_of(text):
-            ids += [known.setdefault(w, len(known)) for w in words]
+        ids += [known.setdefault(w, len(known)) for w in units_of(text)]
         counts[d] = len(ids) - before
     return list(known), np.array(ids, np.int64), np.repeat(np.arange(len(texts)), counts)
 
@@ -214,18 +228,45 @@ class Model:
     def __init__(self, marks: Landmarks | None, weights: np.ndarray | None, bias: float, sigmoid: tuple[float, float], constant: float | None = None) -> None:
         self.marks, self.weights, self.bias, self.sigmoid, self.constant, self.memo = marks, weights, bias, sigmoid, constant, {}
 
+    def unit_margins(self, units: list[str]) -> list[float]:
+        margin = np.full(len(units), self.bias)
+        which, values = self.marks.kernel(units)
+        margin[which] = values @ self.weights + self.bias
+        return margin.tolist()
+
+    def learn(self, tokens: list[str]) -> None:
+        """Puts tokens into the memo: the worst of a token's units, or SINGLE for a lone letter."""
+        own = [unit(t) for t in tokens]
+        parts = [cut(w) for w in own]
+        flat = iter(self.unit_margins([x for p in parts for x in p]))
+        for t, w, p in zip(tokens, own, parts, strict=True):
+            worst = max(next(flat) for _ in p)
+            self.memo[t] = SINGLE if len(w) == 1 else worst
+
     def margins(self, texts: list[str]) -> np.ndarray:
         """The worst unit of each text; the bias where no unit is near a landmark. A bounded memo
-        spares units seen before."""
+        spares tokens seen before."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, docs = self.memo, [[w for words in units_of(t) for w in words] for t in texts]
-        new = list({w for words in docs for w in words if w not in memo})
-        margin = np.full(len(new), self.bias)
-        which, values = self.marks.kernel(new)
-        margin[which] = values @ self.weights + self.bias
-        memo.update(zip(new, margin.tolist(), strict=True))
-        return np.array([max(map(memo.__getitem__, words), default=self.bias) for words in docs])
+        memo, out = self.memo, np.full(len(texts), self.bias)
+        docs = [t.split() for t in texts]
+        new = {w for tokens in docs for w in tokens if w not in memo}
+        if new:
+            self.learn(list(new))
+        for i, tokens in enumerate(docs):
+            if not tokens:
+                continue
+            values = np.fromiter(map(memo.__getitem__, tokens), np.float64, len(tokens))
+            single = values == SINGLE
+            out[i] = max(self.bias, values.max())
+            if (single[2:] & single[1:-1] & single[:-2]).any():
+                out[i] = max(out[i], *self.unit_margins([x for w in spaced(tokens, single.tolist()) for x in cut(w)]))
+        return out
+
+    def sentences(self, text: str) -> list[tuple[str, float]]:
+        """Every sentence of a text with its score."""
+        own = sentences_of(text)
+        return list(zip(own, self.scores(own).tolist(), strict=True))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
@@ -237,7 +278,7 @@ class Model:
 def telling(bad: list[str], good: list[str]) -> tuple[list[list[str]], list[str]]:
     """The TELLING units of each toxic document with the highest log odds of standing in toxic
     documents (over ODDS only); and the most frequent units of clean ones."""
-    sets = [[{w for s in units_of(t) for w in s if len(w) > 2} for t in texts] for texts in (bad, good)]
+    sets = [[{w for w in units_of(t) if len(w) > 2} for t in texts] for texts in (bad, good)]
     count = [Counter(w for own in some for w in own) for some in sets]
 
     def odds(w: str) -> float:
