@@ -53,6 +53,12 @@ def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op9_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
