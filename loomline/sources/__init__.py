@@ -1 +1 @@
-
+"""Tables and files the engine reads and writes."""
