@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics
+from . import analytics, web
 
-QUERIES = {**analytics.QUERIES}
-SQL = {**analytics.SQL}
+QUERIES = {**analytics.QUERIES, **web.QUERIES}
+SQL = {**analytics.SQL, **web.SQL}
