@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import pieces, shared_dir
 
 END = 1
+END_BYTES = END.to_bytes(4, "little")
 #: Parquet writer: bytes of a row group and of a page, encodings.
 FORMAT = {
     "parquet.block.size": str(32 << 20),
@@ -41,41 +42,63 @@ FORMAT = {
     "compression": "zstd",
 }
 SCHEMA = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
-MEMO = 400_000
+MEMO = 300_000
 
 
 class WordEncoder:
-    """Ids of whole texts, one word at a time.
+    """Ids (little-endian 32 bits each) of whole texts, one word at a time.
 
     No token crosses white space: the pre-tokenizer drops it and special tokens hold none. Hence
     ids of a text are those of its words in a row, and a bounded memo spares repeated words.
+    A word of Latin letters alone is one piece for the pre-tokenizer and, in lower case, what the
+    normaliser makes of it, so it goes to the tokenizer's model at once; a full stop or comma after
+    it is a piece of its own. Every other word takes the tokenizer's whole way. Whether the short
+    way holds for a tokenizer is tried on some words first.
     Split is at what both Python and the tokenizer take as white space; the four separators
     U+001C to U+001F are none for the tokenizer, so a text with one of them is encoded as it is.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.memo, self.lower = Tokenizer.from_file(path), {}, {}
+        self.model, self.bytes = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        tried = ["A", "the", "Straße", "ÉTÉ", "ñandú", "Wordlike"]
+        self.short = all(self.plain(w) == self.slow([w])[0] and self.plain(w) + self.slow([c])[0] == self.slow([w + c])[0] for w in tried for c in ".,")
+        self.tails = {c: self.slow([c])[0] for c in ".,"}
+
+    def slow(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def plain(self, word: str) -> bytes:
+        """Ids of a word of letters below U+0250 other than U+0130."""
+        word = word.lower()
+        ids = self.lower.get(word)
+        if ids is None:
+            mapped = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+            ids = self.lower[word] = np.array([t.id for t in self.model.tokenize(mapped)], "<i4").tobytes()
+        return ids
+
+    def learn(self, words: set[str]) -> None:
+        rest = []
+        for w in words:
+            core, tail = (w[:-1], w[-1]) if w[-1] in self.tails and len(w) > 1 else (w, "")
+            if self.short and core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                self.memo[w] = self.plain(core) + self.tails[tail] if tail else self.plain(core)
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 4096):
+            self.memo.update(zip(rest[i : i + 4096], self.slow(rest[i : i + 4096]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        for held in (self.memo, self.lower):
+            if len(held) > MEMO:
+                held.clear()
+        memo, out = self.memo, []
         split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list({w for words in split if words for w in words if w not in memo})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            memo.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        out = []
+        self.learn({w for words in split if words for w in words if w not in memo})
         for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            else:
-                ids: list[int] = []
-                for w in words:
-                    ids += memo[w]
-                out.append(ids)
+            out.append(self.slow([text])[0] if words is None else b"".join(map(memo.__getitem__, words)))
         return out
 
 
@@ -87,12 +110,9 @@ def encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         encoder, part, start = WordEncoder(path), TaskContext.get().partitionId(), 0
         for batch in pieces(batches, "text", 4 << 20):
             lists = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            sizes = np.fromiter((len(x) + 1 for x in lists), np.int64, len(lists))
+            sizes = np.fromiter((len(x) // 4 + 1 for x in lists), np.int64, len(lists))
             ends = np.cumsum(sizes)
-            flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-            for ids, n, end in zip(lists, sizes, ends, strict=True):
-                flat[end - n : end - 1] = ids
-                flat[end - 1] = END
+            flat = np.frombuffer(b"".join(x for ids in lists for x in (ids, END_BYTES)), np.int32)
             offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lists), part), pa.int32()), batch.column("doc_id"), pa.array(start + ends - sizes), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["part", "doc_id", "start_in_part", "n_tokens", "ids"])
             start += int(ends[-1]) if len(ends) else 0
