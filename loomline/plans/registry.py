@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, web
+from . import analytics, extraction, web
 
-QUERIES = {**analytics.QUERIES, **web.QUERIES}
-SQL = {**analytics.SQL, **web.SQL}
+QUERIES = {**analytics.QUERIES, **web.QUERIES, **extraction.QUERIES}
+SQL = {**analytics.SQL, **web.SQL, **extraction.SQL}
