@@ -37,10 +37,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cases(name: str, columns: str, rows: str, sql: str, **outputs: Column) -> None:
+def cases(name: str, columns: str, rows: str, sql: str, **outputs: Callable[[], Column]) -> None:
     """A query of scalar functions over inline rows; `sql` selects from t."""
     values = f"(VALUES {rows}) AS t({columns})"
-    QUERIES[name] = lambda spark, sf_dir: spark.sql(f"SELECT * FROM {values}").select(*columns.split(", "), *(c.alias(n) for n, c in outputs.items()))
+    QUERIES[name] = lambda spark, sf_dir: spark.sql(f"SELECT * FROM {values}").select(*columns.split(", "), *(make().alias(n) for n, make in outputs.items()))
     SQL[name] = f"SELECT {columns}, {sql} FROM {values}"
 
 
@@ -71,15 +71,15 @@ def page_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 cases("validate_order", "id, html, status, ct", "(1, 'x', 404, 'text/html'), (2, 'x', 200, 'application/json'), (3, 'x', 200, 'text/html'), (4, 'x', 200, CAST(NULL AS STRING)), (5, repeat('word ', 1200), 200, 'TEXT/HTML; charset=utf-8'), (6, repeat('<b>x</b>', 700), 299, 'application/xhtml+xml'), (7, repeat('<script>a b</script>', 400), 200, 'text/html')".replace("STRING", "VARCHAR(9)"),
       f"CASE WHEN status < 200 OR status >= 300 THEN 'http_status_error' WHEN ct IS NOT NULL AND lower(ct) NOT LIKE '%text/html%' AND lower(ct) NOT LIKE '%application/xhtml+xml%' THEN 'wrong_content_type' WHEN strlen(html) < 5120 THEN 'body_too_small' WHEN {_words(_VISIBLE)} < 100 THEN 'insufficient_content' END AS code",
-      code=V.quick_validate(c("html"), c("status"), c("ct")))
+      code=lambda: V.quick_validate(c("html"), c("status"), c("ct")))
 cases("failure_taxonomy", "status", "(429), (403), (0), (500), (404)",
       "CASE WHEN status = 429 THEN 'rate_limited' WHEN status = 0 THEN 'network_error' ELSE 'http_status_error' END AS error, CASE status WHEN 429 THEN 'wait_and_retry' WHEN 403 THEN 'retry_with_extract' ELSE 'skip' END AS action",
-      error=V.failure(c("status"))["error"], action=V.failure(c("status"))["action"])
+      error=lambda: V.failure(c("status"))["error"], action=lambda: V.failure(c("status"))["action"])
 cases("retry_policy", "success, status, error, attempt", "(false, 0, 'connection refused', 0), (false, 0, 'ssrf_protection', 1), (false, 503, 'x', 1), (true, 200, 'x', 2)",
       "NOT success AND status = 0 AND error <> 'ssrf_protection' AS retry, CAST(pow(2, attempt) * 1000 AS BIGINT) AS delay_ms",
-      retry=V.is_retryable(c("success"), c("status"), c("error")), delay_ms=V.retry_delay(c("attempt")))
+      retry=lambda: V.is_retryable(c("success"), c("status"), c("error")), delay_ms=lambda: V.retry_delay(c("attempt")))
 cases("cascade_gates", "n", "(CAST(NULL AS INT)), (0), (99), (100), (1999), (2000)",
-      "CASE WHEN coalesce(n, 0) < 100 THEN 'insufficient_content' WHEN coalesce(n, 0) < 2000 THEN 'probe_data_route' ELSE 'accept' END AS gate", gate=V.gate(c("n")))
+      "CASE WHEN coalesce(n, 0) < 100 THEN 'insufficient_content' WHEN coalesce(n, 0) < 2000 THEN 'probe_data_route' ELSE 'accept' END AS gate", gate=lambda: V.gate(c("n")))
 
 # --- text -------------------------------------------------------------------------------------
 
@@ -89,7 +89,7 @@ def word_count_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("docs"), F.sum(T.count_words(c("text"))).alias("words"))
 
 
-cases("cjk_word_count", "s", "('这是一个测试'), ('hello 这是一个测试 world'), ('  a  b '), (''), ('かな カナ'), ('한국어 test')", f"{_words('s')} AS words", words=T.count_words(c("s")))
+cases("cjk_word_count", "s", "('这是一个测试'), ('hello 这是一个测试 world'), ('  a  b '), (''), ('かな カナ'), ('한국어 test')", f"{_words('s')} AS words", words=lambda: T.count_words(c("s")))
 
 _WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _TRIM = lambda x: f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
@@ -113,7 +113,7 @@ def threshold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BOILER = T.BOILERPLATE
 cases("boilerplate_flag", "s", "('Advertisement'), (' log in '), ('Log in now'), ('Already a subscriber? Log in'), ('Subscribe for all ' || repeat('x', 200)), ('Subscribe for all access'), ('text'), ('')",
-      f"length({_TRIM('s')}) > 0 AND length({_TRIM('s')}) <= 200 AND regexp_matches({_TRIM('s')}, '{_BOILER}') AS boilerplate", boilerplate=T.is_boilerplate(c("s")))
+      f"length({_TRIM('s')}) > 0 AND length({_TRIM('s')}) <= 200 AND regexp_matches({_TRIM('s')}, '{_BOILER}') AS boilerplate", boilerplate=lambda: T.is_boilerplate(c("s")))
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def page_title_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 cases("title_cases", "html", """('<title>Covid-19 news | Site</title>'), ('<meta property="og:title" content="OG Title"><title>Page</title>'), ('<TITLE> x </TITLE>'), ('none')""",
       r"""CASE WHEN regexp_extract(html, '(?i)<meta[^>]*property=["'']og:title["''][^>]*content=["'']([^"'']+)["'']', 1) <> '' THEN regexp_extract(html, '(?i)<meta[^>]*property=["'']og:title["''][^>]*content=["'']([^"'']+)["'']', 1) WHEN trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) <> '' THEN trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) END AS title""",
-      title=T.page_title(c("html")))
+      title=lambda: T.page_title(c("html")))
 
 
 @add("page_lang", r"""SELECT nullif(regexp_extract(html, '(?i)<html\b[^>]*?\blang=["'']?([^"''\s>]+)', 1), '') AS lang, count(*) AS pages FROM pages GROUP BY 1""")
@@ -147,10 +147,10 @@ def page_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 cases("article_id", "html", """('<meta name="article.id" content="a1">'), ('<meta content="b2" name="article.id">'), ('<meta name="x">')""",
-      r"""coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]*name=["'']article\.id["''][^>]*content=["'']([^"'']+)["'']', 1), ''), nullif(regexp_extract(html, '(?i)<meta[^>]*content=["'']([^"'']+)["''][^>]*name=["'']article\.id["'']', 1), '')) AS id""", id=T.article_id(c("html")))
+      r"""coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]*name=["'']article\.id["''][^>]*content=["'']([^"'']+)["'']', 1), ''), nullif(regexp_extract(html, '(?i)<meta[^>]*content=["'']([^"'']+)["''][^>]*name=["'']article\.id["'']', 1), '')) AS id""", id=lambda: T.article_id(c("html")))
 cases("html_sniffs", "s", "('<p>x'), ('<p class=a>'), ('<div>'), ('<h2>'), ('plain'), ('<em>x</em>'), ('<br/>')",
       r"regexp_matches(s, '(?i)<(?:p|div|br|span|h[1-6])[\s>/]') AS article, regexp_matches(s, '<(?:p|div)>') AS bare, regexp_matches(s, '(?i)<(?:p|div|h[1-6]|ul|ol|li|blockquote|figure|img|a|em|strong)[\s>]') AS hydration",
-      article=T.article_html_sniff(c("s")), bare=T.bare_html_sniff(c("s")), hydration=T.hydration_html_sniff(c("s")))
+      article=lambda: T.article_html_sniff(c("s")), bare=lambda: T.bare_html_sniff(c("s")), hydration=lambda: T.hydration_html_sniff(c("s")))
 
 
 @add("conversation_text_markdown", r"""SELECT conv_id, turn, CASE WHEN length(role) > 0 THEN '# ' || role || chr(10) || chr(10) ELSE '' END || array_to_string(list_filter(list_transform(regexp_split_to_array(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{2,}'), lambda p: trim(p, ' ' || chr(9) || chr(10))), lambda p: length(p) > 0), chr(10) || chr(10)) AS md FROM conversations""")
@@ -160,12 +160,12 @@ def conversation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 cases("display_helpers", "n", "(0), (7), (999), (1000), (12345), (999999), (1500000)",
       "CASE WHEN n = 0 THEN '-' WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN printf('%.1fk', n / 1000) ELSE printf('%.1fM', n / 1000000) END AS size, rpad(substr(CAST(n AS VARCHAR), 1, 5), 5, ' ') AS fit, CASE WHEN n > 1000 THEN '↑' WHEN n < 1000 THEN '↓' ELSE '→' END AS delta",
-      size=T.format_bytes(c("n")), fit=T.fit_column(c("n").cast("string"), 5), delta=T.delta_symbol(c("n") - 1000))
-cases("percent_bars", "k, n", "(0, 0), (1, 4), (3, 3), (0, 9)", "CASE WHEN n = 0 THEN '(  0.0%)' ELSE '(' || lpad(printf('%.1f', k / n * 100), 5, ' ') || '%)  ' || repeat('█', CAST(floor(k / n * 30 + 0.5) AS INT)) END AS bar", bar=T.percent_bar(c("k"), c("n")))
+      size=lambda: T.format_bytes(c("n")), fit=lambda: T.fit_column(c("n").cast("string"), 5), delta=lambda: T.delta_symbol(c("n") - 1000))
+cases("percent_bars", "k, n", "(0, 0), (1, 4), (3, 3), (0, 9)", "CASE WHEN n = 0 THEN '(  0.0%)' ELSE '(' || lpad(printf('%.1f', k / n * 100), 5, ' ') || '%)  ' || repeat('█', CAST(floor(k / n * 30 + 0.5) AS INT)) END AS bar", bar=lambda: T.percent_bar(c("k"), c("n")))
 cases("relative_dates", "spec", "('7d'), ('36h'), ('90m'), ('2024-02-29'), ('soon')",
       "CASE WHEN regexp_matches(spec, '^\\d{4}-\\d{2}-\\d{2}$') THEN CAST(spec AS TIMESTAMP) WHEN regexp_matches(spec, '^\\d+[dhm]$') THEN TIMESTAMP '2024-03-10 12:00:00' - to_seconds(CAST(regexp_extract(spec, '^(\\d+)', 1) AS INT) * CASE right(spec, 1) WHEN 'd' THEN 86400 WHEN 'h' THEN 3600 ELSE 60 END) END AS at".replace("CAST(spec AS TIMESTAMP)", "TRY_CAST(spec AS TIMESTAMP)"),
-      at=T.relative_before(c("spec"), F.lit("2024-03-10 12:00:00").cast("timestamp")))
-cases("first_non_empty", "a, b, x", "('', 'env', 'z'), ('own', 'env', 'z'), ('', '', 'z'), ('', '', '')", "coalesce(nullif(a, ''), nullif(b, ''), nullif(x, '')) AS proxy", proxy=T.first_non_empty(c("a"), c("b"), c("x")))
+      at=lambda: T.relative_before(c("spec"), F.lit("2024-03-10 12:00:00").cast("timestamp")))
+cases("first_non_empty", "a, b, x", "('', 'env', 'z'), ('own', 'env', 'z'), ('', '', 'z'), ('', '', '')", "coalesce(nullif(a, ''), nullif(b, ''), nullif(x, '')) AS proxy", proxy=lambda: T.first_non_empty(c("a"), c("b"), c("x")))
 
 # --- URLs -------------------------------------------------------------------------------------
 
@@ -181,7 +181,7 @@ def normalize_url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 cases("normalize_cases", "url", "('HTTPS://Example.COM:443/A/'), ('http://x.com'), ('http://x.com:80/?q=1#f'), ('https://x.com/a//'), ('not a url'), ('https://x.com/a/?b=/')",
       """CASE url WHEN 'HTTPS://Example.COM:443/A/' THEN 'https://example.com/A' WHEN 'http://x.com' THEN 'http://x.com/' WHEN 'http://x.com:80/?q=1#f' THEN 'http://x.com/?q=1' WHEN 'https://x.com/a//' THEN 'https://x.com/a/' WHEN 'not a url' THEN 'not a url' ELSE 'https://x.com/a?b=/' END AS norm""",
-      norm=U.normalize(c("url")))
+      norm=lambda: U.normalize(c("url")))
 
 
 @add("url_slug", f"SELECT page_id, list_filter(string_split({_PATH('url')}, '/'), lambda s: s <> '')[-1] AS slug FROM pages")
@@ -207,7 +207,7 @@ def site_host_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 cases("pdf_urls", "url", "('https://x.com/a.PDF'), ('https://x.com/a.pdf?x=1'), ('/local/file.pdf'), ('https://x.com/pdf'), ('https://x.com/?f=a.pdf')",
-      "CASE url WHEN 'https://x.com/pdf' THEN false WHEN 'https://x.com/?f=a.pdf' THEN false ELSE true END AS is_pdf", is_pdf=U.is_pdf(c("url")))
+      "CASE url WHEN 'https://x.com/pdf' THEN false WHEN 'https://x.com/?f=a.pdf' THEN false ELSE true END AS is_pdf", is_pdf=lambda: U.is_pdf(c("url")))
 
 
 @add("pdf_url_filter", f"SELECT count(*) AS pages, count(*) FILTER (WHERE lower({_PATH('url')}) LIKE '%.pdf') AS pdfs FROM pages")
@@ -215,15 +215,15 @@ def pdf_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).agg(F.count("*").alias("pages"), F.count(F.when(U.is_pdf(c("url")), 1)).alias("pdfs"))
 
 
-cases("content_types", "ct", "('application/pdf'), ('Application/PDF; q=1'), ('text/html')", "lower(ct) LIKE '%application/pdf%' AS pdf", pdf=U.is_pdf_type(c("ct")))
+cases("content_types", "ct", "('application/pdf'), ('Application/PDF; q=1'), ('text/html')", "lower(ct) LIKE '%application/pdf%' AS pdf", pdf=lambda: U.is_pdf_type(c("ct")))
 cases("doc_extension_links", "href", "('/report.pdf'), ('https://x.com/a.DOCX?v=2'), ('data.csv#x'), ('/a.html'), ('/v1.2/readme'), ('x.tar.gz'), ('notes.md')",
-      "CASE WHEN lower(regexp_extract(regexp_replace(href, '[?#].*$', ''), '\\.([^./]*)$', 1)) IN ('" + "', '".join(U.DOCUMENTS) + "') THEN '.' || lower(regexp_extract(regexp_replace(href, '[?#].*$', ''), '\\.([^./]*)$', 1)) END AS ext", ext=U.document_extension(c("href")))
+      "CASE WHEN lower(regexp_extract(regexp_replace(href, '[?#].*$', ''), '\\.([^./]*)$', 1)) IN ('" + "', '".join(U.DOCUMENTS) + "') THEN '.' || lower(regexp_extract(regexp_replace(href, '[?#].*$', ''), '\\.([^./]*)$', 1)) END AS ext", ext=lambda: U.document_extension(c("href")))
 cases("video_embed", "src", "('https://www.youtube.com/embed/dQw4w9WgXcQ'), ('https://youtu.be/abc_-1'), ('https://player.vimeo.com/video/123456789'), ('https://vimeo.com/42'), ('https://x.com/v')",
       "CASE WHEN regexp_matches(src, '(?:youtube\\.com/embed/|youtu\\.be/)([a-zA-Z0-9_-]+)') THEN 'https://www.youtube.com/watch?v=' || regexp_extract(src, '(?:youtube\\.com/embed/|youtu\\.be/)([a-zA-Z0-9_-]+)', 1) WHEN regexp_matches(src, 'vimeo\\.com/(?:video/)?(\\d+)') THEN 'https://vimeo.com/' || regexp_extract(src, 'vimeo\\.com/(?:video/)?(\\d+)', 1) END AS watch",
-      watch=U.video_embed(c("src"))["src"])
-cases("srcset_largest", "id, s, want", "(1, 'a 1x, b 2x, c 100w', 'c'), (2, '/s.jpg 400w, /l.jpg 800w, /m.jpg 600w', '/l.jpg'), (3, 'a, b', 'a'), (4, 'a 1.5x, b 3x', 'b'), (5, 'a 10w, b 10w', 'a'), (6, 'a 2h, b', 'b'), (7, 'a 100w, b 3x', 'a')", "want AS best", best=U.srcset_largest(c("s")))
+      watch=lambda: U.video_embed(c("src"))["src"])
+cases("srcset_largest", "id, s, want", "(1, 'a 1x, b 2x, c 100w', 'c'), (2, '/s.jpg 400w, /l.jpg 800w, /m.jpg 600w', '/l.jpg'), (3, 'a, b', 'a'), (4, 'a 1.5x, b 3x', 'b'), (5, 'a 10w, b 10w', 'a'), (6, 'a 2h, b', 'b'), (7, 'a 100w, b 3x', 'a')", "want AS best", best=lambda: U.srcset_largest(c("s")))
 cases("next_route_url", "url, build", "('https://x.com/a/b/', 'b1'), ('https://x.com', 'b1'), ('https://X.com/a?q=1', 'b-2')",
-      "CASE url WHEN 'https://x.com' THEN 'https://x.com/_next/data/b1/index.json' WHEN 'https://x.com/a/b/' THEN 'https://x.com/_next/data/b1/a/b.json' ELSE 'https://x.com/_next/data/b-2/a.json' END AS route", route=U.next_data_route(c("url"), c("build")))
+      "CASE url WHEN 'https://x.com' THEN 'https://x.com/_next/data/b1/index.json' WHEN 'https://x.com/a/b/' THEN 'https://x.com/_next/data/b1/a/b.json' ELSE 'https://x.com/_next/data/b-2/a.json' END AS route", route=lambda: U.next_data_route(c("url"), c("build")))
 
 
 @add("next_route_pages", f"SELECT page_id, {_ORIGIN('url')} || '/_next/data/b1' || CASE WHEN regexp_replace({_PATH('url')}, '/$', '') = '' THEN '/index' ELSE regexp_replace({_PATH('url')}, '/$', '') END || '.json' AS route FROM pages")
@@ -231,21 +231,21 @@ def next_route_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", U.next_data_route(c("url"), F.lit("b1")).alias("route"))
 
 
-cases("same_site", "a, b, want", "('api.example.com', 'www.example.com', true), ('a.com', 'b.com', false), ('10.0.0.1', '10.0.0.1', true), ('10.0.0.1', '9.0.0.1', false), ('localhost', 'localhost', true), ('localhost', 'x.localhost', false), ('evil.co.uk', 'victim.co.uk', true)", "want AS same", same=U.is_same_site(c("a"), c("b")))
+cases("same_site", "a, b, want", "('api.example.com', 'www.example.com', true), ('a.com', 'b.com', false), ('10.0.0.1', '10.0.0.1', true), ('10.0.0.1', '9.0.0.1', false), ('localhost', 'localhost', true), ('localhost', 'x.localhost', false), ('evil.co.uk', 'victim.co.uk', true)", "want AS same", same=lambda: U.is_same_site(c("a"), c("b")))
 cases("prism_url", "d, s, w, u", "('api.x.com', 'content', 'site a', 'https://www.x.com/p/q'), ('https://api.y.com', 'c', '', 'https://www.x.com/'), ('http://x.com', 'c', '', 'https://x.com/z')",
       "CASE u WHEN 'https://www.x.com/p/q' THEN 'https://api.x.com/api/content?_website=site%20a&query=%7B%22canonical_url%22%3A%22%2Fp%2Fq%22%7D' WHEN 'https://x.com/z' THEN 'http://x.com/api/c?query=%7B%22canonical_url%22%3A%22%2Fz%22%7D' END AS api",
-      api=U.prism_url(c("d"), c("s"), c("w"), c("u")))
+      api=lambda: U.prism_url(c("d"), c("s"), c("w"), c("u")))
 cases("wp_api_urls", "u, detected, custom, use_wp", "('https://x.com/2024/my-post/', '', '', true), ('https://x.com/a', 'https://x.com/wp-json/wp/v2/posts/7', '', true), ('https://x.com/b', '', '/wp-json/c/', false), ('https://x.com/', '', '', true), ('https://x.com/c', '', '', false)",
       "CASE u WHEN 'https://x.com/2024/my-post/' THEN 'https://x.com/wp-json/wp/v2/posts?slug=my-post&_embed' WHEN 'https://x.com/a' THEN 'https://x.com/wp-json/wp/v2/posts/7?_embed' WHEN 'https://x.com/b' THEN 'https://x.com/wp-json/c/b?_embed' END AS api",
-      api=U.with_embed(U.wp_api_url(c("u"), c("detected"), c("custom"), c("use_wp"))))
-cases("wp_truncation", "html", """('<a href="https://x/?utm_campaign=api">more</a>'), ('<a href="https://x/">')""", """regexp_matches(html, 'href="[^"]*utm_campaign=api') AS teaser""", teaser=U.has_truncation_marker(c("html")))
+      api=lambda: U.with_embed(U.wp_api_url(c("u"), c("detected"), c("custom"), c("use_wp"))))
+cases("wp_truncation", "html", """('<a href="https://x/?utm_campaign=api">more</a>'), ('<a href="https://x/">')""", """regexp_matches(html, 'href="[^"]*utm_campaign=api') AS teaser""", teaser=lambda: U.has_truncation_marker(c("html")))
 cases("private_ip_filter", "ip", "('172.16.0.1'), ('172.32.0.1'), ('::ffff:10.0.0.1'), ('8.8.8.8'), ('127.0.0.1'), ('::1'), ('fe80::1'), ('2001:db8::1'), ('2606:4700::1'), ('::ffff:8.8.8.8'), ('169.254.1.1')",
-      f"CASE WHEN lower(ip) LIKE '::ffff:%' THEN regexp_matches(substr(ip, 8), '{U.PRIVATE_V4}') WHEN ip LIKE '%:%' THEN regexp_matches(ip, '{U.PRIVATE_V6}') ELSE regexp_matches(ip, '{U.PRIVATE_V4}') END AS private", private=U.is_private_ip(c("ip")))
+      f"CASE WHEN lower(ip) LIKE '::ffff:%' THEN regexp_matches(substr(ip, 8), '{U.PRIVATE_V4}') WHEN ip LIKE '%:%' THEN regexp_matches(ip, '{U.PRIVATE_V6}') ELSE regexp_matches(ip, '{U.PRIVATE_V4}') END AS private", private=lambda: U.is_private_ip(c("ip")))
 cases("proxy_rules", "p", "('http://u:pw@h:1'), ('socks5h://h'), ('ftp://h'), ('nonsense'), ('https://u@h/')",
       "lower(regexp_extract(p, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) IN ('http', 'https', 'socks5', 'socks5h') AS allowed, CASE p WHEN 'http://u:pw@h:1' THEN 'http://***:***@h:1' WHEN 'https://u@h/' THEN 'https://***@h/' WHEN 'nonsense' THEN '<invalid-proxy-url>' ELSE p END AS redacted",
-      allowed=U.proxy_allowed(c("p")), redacted=U.redact_proxy(c("p")))
+      allowed=lambda: U.proxy_allowed(c("p")), redacted=lambda: U.redact_proxy(c("p")))
 cases("agent_presets", "ua", "('Mozilla (Linux; Android 14) Chrome/1'), ('Mozilla (iPhone) CriOS/1'), ('Mozilla (iPhone) Safari'), ('curl')",
-      "CASE WHEN ua ILIKE '%android%' AND ua ILIKE '%chrome%' THEN 'chrome-android' WHEN ua ILIKE '%iphone%' AND ua ILIKE '%crios%' THEN 'chrome-ios' WHEN ua ILIKE '%iphone%' AND ua ILIKE '%safari%' THEN 'safari-ios' END AS preset", preset=U.resolve_preset(c("ua")))
+      "CASE WHEN ua ILIKE '%android%' AND ua ILIKE '%chrome%' THEN 'chrome-android' WHEN ua ILIKE '%iphone%' AND ua ILIKE '%crios%' THEN 'chrome-ios' WHEN ua ILIKE '%iphone%' AND ua ILIKE '%safari%' THEN 'safari-ios' END AS preset", preset=lambda: U.resolve_preset(c("ua")))
 
 _DNS = "(VALUES ('a.com', '8.8.8.8'), ('a.com', '10.0.0.1'), ('b.com', '1.1.1.1'), ('c.com', CAST(NULL AS VARCHAR(9)))) AS d(name, address)"
 
@@ -337,7 +337,7 @@ def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- cookies ----------------------------------------------------------------------------------
 
 cases("cookie_parse", "h", "('a=1; b=2=3; a=9'), ('x'), ('=v; k= w ')", "CASE h WHEN 'a=1; b=2=3; a=9' THEN 'a:9|b:2=3' WHEN 'x' THEN '' ELSE 'k:w' END AS m",
-      m=F.array_join(F.array_sort(F.transform(F.map_entries(C.parse_header(c("h"))), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), "|"))
+      m=lambda: F.array_join(F.array_sort(F.transform(F.map_entries(C.parse_header(c("h"))), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), "|"))
 _COOKIES = "(VALUES ('.example.com', true, '/', false, 0, 'a', '1', 0), ('example.com', false, '/api', false, 0, 'b', '2', 1), ('.example.com', true, '/', true, 0, 'c', '3', 2), ('.example.com', true, '/', false, 5, 'd', '4', 3), ('.example.com', true, '/', false, 0, 'a', '9', 4)) AS k(domain, subdomains, path, secure, expires, name, value, pos)"
 
 
