@@ -141,10 +141,10 @@ def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), pa.array(bases, pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(found, pa.list_(FOUND))], names=["doc_id", "h1", "h2", "base", *(f"n_{k}" for k in KINDS), "found"])
 
 
-def hashed(docs: DataFrame) -> DataFrame:
+def hashed(docs: DataFrame, h1: str = "h1", h2: str = "h2") -> DataFrame:
     """docs with two 64-bit hashes of the text, which stand for it in joins."""
     t = text_or_empty()
-    return docs.withColumn("h1", F.xxhash64(t)).withColumn("h2", F.xxhash64(F.lit(1), F.length(t), t))
+    return docs.withColumn(h1, F.xxhash64(t)).withColumn(h2, F.xxhash64(F.lit(1), F.length(t), t))
 
 
 def trusted_patterns(found: DataFrame) -> DataFrame:
@@ -213,11 +213,12 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = hashed(docs.select("doc_id", text_or_empty().alias("text")))
     extra = discovered(written(rows.mapInArrow(finding, SCHEMA), "pii-spans"))
     names = docs.columns
-    with_extra = hashed(docs).join(extra, ["h1", "h2"], "left").select(*names, "extra")
+    keys = extra.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("extra").alias("__extra"))
+    with_extra = hashed(docs, "__h1", "__h2").join(keys, ["__h1", "__h2"], "left").select(*names, "__extra")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            texts = [None if t is None else redacted(t, base_spans(t) + parsed("", e)) for t, e in zip(batch.column("text").to_pylist(), batch.column("extra").to_pylist(), strict=True)]
+            texts = [None if t is None else redacted(t, base_spans(t) + parsed("", e)) for t, e in zip(batch.column("text").to_pylist(), batch.column("__extra").to_pylist(), strict=True)]
             new = {"text": pa.array(texts, batch.column("text").type)}
             if "n_chars" in names:
                 new["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, batch.column("n_chars").to_pylist(), strict=True)], batch.column("n_chars").type)

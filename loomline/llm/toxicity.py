@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pieces
 
@@ -370,22 +371,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train(rows.text[rows.toxic == 1].tolist(), rows.text[rows.toxic != 1].tolist())
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    names = docs.columns
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with the score in a column `name`, which takes the place of one that has it already."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [n for n in docs.columns if n != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             scores = sent.value.scores([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(scores, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(scores, pa.float64())], names=[*keep, name])
 
-    keep = [n for n in names if n != "score"]
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*(docs.schema[n] for n in keep), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[n] for n in keep), T.StructField(name, T.DoubleType())])
+    return docs.select(*keep).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
