@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, extraction, web
+from . import analytics, extraction, payloads, web
 
-QUERIES = {**analytics.QUERIES, **web.QUERIES, **extraction.QUERIES}
-SQL = {**analytics.SQL, **web.SQL, **extraction.SQL}
+QUERIES = {**analytics.QUERIES, **web.QUERIES, **extraction.QUERIES, **payloads.QUERIES}
+SQL = {**analytics.SQL, **web.SQL, **extraction.SQL, **payloads.SQL}
