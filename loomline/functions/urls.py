@@ -167,7 +167,7 @@ def redact_proxy(proxy: Column) -> Column:
 
 def redact_cache_key(key: Column) -> Column:
     """A key `preset|proxy` with its proxy redacted."""
-    proxy = F.substring_index(F.regexp_replace(key, r"^[^|]*\|", ""), "\u0000", 1)
+    proxy = F.regexp_replace(key, r"^[^|]*\|", "")
     return F.when(~F.contains(key, F.lit("|")) | (proxy == "direct"), key).otherwise(F.concat(F.substring_index(key, "|", 1), F.lit("|"), redact_proxy(proxy)))
 
 

@@ -244,6 +244,7 @@ cases("private_ip_filter", "ip", "('172.16.0.1'), ('172.32.0.1'), ('::ffff:10.0.
 cases("proxy_rules", "p", "('http://u:pw@h:1'), ('socks5h://h'), ('ftp://h'), ('nonsense'), ('https://u@h/')",
       "lower(regexp_extract(p, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) IN ('http', 'https', 'socks5', 'socks5h') AS allowed, CASE p WHEN 'http://u:pw@h:1' THEN 'http://***:***@h:1' WHEN 'https://u@h/' THEN 'https://***@h/' WHEN 'nonsense' THEN '<invalid-proxy-url>' ELSE p END AS redacted",
       allowed=lambda: U.proxy_allowed(c("p")), redacted=lambda: U.redact_proxy(c("p")))
+cases("cache_keys", "k", "('chrome|direct'), ('chrome|http://u:pw@h:1'), ('plain'), ('x|nonsense')", "CASE k WHEN 'chrome|http://u:pw@h:1' THEN 'chrome|http://***:***@h:1' WHEN 'x|nonsense' THEN 'x|<invalid-proxy-url>' ELSE k END AS redacted", redacted=lambda: U.redact_cache_key(c("k")))
 cases("agent_presets", "ua", "('Mozilla (Linux; Android 14) Chrome/1'), ('Mozilla (iPhone) CriOS/1'), ('Mozilla (iPhone) Safari'), ('curl')",
       "CASE WHEN ua ILIKE '%android%' AND ua ILIKE '%chrome%' THEN 'chrome-android' WHEN ua ILIKE '%iphone%' AND ua ILIKE '%crios%' THEN 'chrome-ios' WHEN ua ILIKE '%iphone%' AND ua ILIKE '%safari%' THEN 'safari-ios' END AS preset", preset=lambda: U.resolve_preset(c("ua")))
 

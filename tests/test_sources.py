@@ -104,3 +104,17 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.url for r in spark.sql("SELECT * FROM fresh").collect()] == ["http://x.com/a"]
+
+
+def test_pdf_text(spark, tmp_path):
+    import zlib
+
+    from loomline.functions import pdf
+
+    page = b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\)) Tj 0 -14 Td [(wor) 20 (ld) -300 (again)] TJ ET BT 0 0 Td <4869> Tj ET"
+    packed = zlib.compress(page)
+    data = b"%PDF-1.4\n1 0 obj << /Length 9 /Filter /FlateDecode >> stream\n" + packed + b"\nendstream endobj 2 0 obj << /Title (My \\(T\\)) /Author <FEFF0041> /CreationDate (D:20240131120000+02'00') >> endobj"
+    (tmp_path / "a.pdf").write_bytes(data)
+    (tmp_path / "b.pdf").write_bytes(b"%PDF broken")
+    row = pdf.articles(tables.pdf_files(spark, str(tmp_path))).collect()
+    assert [(r.title, r.byline, r.published_time, r.text, r.word_count) for r in row] == [("My (T)", "A", "2024-01-31T12:00:00+02:00", "Hello (PDF)\nworld again\nHi", 5)]
