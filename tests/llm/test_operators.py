@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -473,6 +474,56 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_branching_keeps_pairs_at_full_depth():
+    lost = 0
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        a, b = rng.integers(0, 2**32, (2, 250, dedup.SLOTS), dtype=np.uint32)
+        slots = np.concatenate([a, np.where(rng.random(a.shape) < 0.8, a, b)])
+        held = [pa.RecordBatch.from_pydict({"vertex": np.arange(500), "slots": [x.tobytes() for x in slots]})]
+        held = list(dedup.rooted(held))
+        for level in range(dedup.DEPTH + 1):
+            rows = pa.Table.from_batches(held)
+            v, tree, node = (rows.column(c).to_numpy() for c in ("vertex", "tree", "node"))
+            _, at, n = np.unique(np.stack([v % 250, tree, node]), axis=1, return_inverse=True, return_counts=True)
+            rows = rows.filter(pa.array(n[at.ravel()] == 2))
+            if level < dedup.DEPTH:
+                batch = rows.append_column("slots", pa.array([slots[i].tobytes() for i in rows.column("vertex").to_pylist()])).combine_chunks().to_batches()
+                step = dedup.branching if "path" in rows.column_names else dedup.branching(level + 1)
+                held = list(step(batch))
+        lost += 250 - len(set((rows.column("vertex").to_numpy() % 250).tolist()))
+    assert lost == 0
+
+
+def test_nodes_choose_slots_off_their_path():
+    node = np.arange(2000, dtype=np.uint64)
+    tree = np.repeat(np.arange(4, dtype=np.int32), 500)
+    path = np.full(2000, 1 << 3 | 1 << 20 | 1 << 63, np.uint64)
+    first, second = dedup.chosen(tree, node, path)
+    assert (first != second).all()
+    assert set(first) | set(second) == set(range(dedup.ROOTS * dedup.TREES, dedup.SLOTS)) - {20, 63}
+    assert len(set(zip(first[:500], second[:500], strict=True))) > 300
+    other = dedup.chosen(tree + 1, node, path)
+    assert (next(other) != first).mean() > 0.9
+
+
+def test_near_duplicates_at_full_depth(spark, monkeypatch):
+    for name, value in (("LEAF", 1), ("BLOCK", 64)):
+        monkeypatch.setattr(dedup, name, value)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        # 36 common words and 36 own ones, of which a copy keeps 28: similarity 64 / 80 to 66 / 78
+        own = [f"v{rng.randrange(10**9)}" for _ in range(36)]
+        common_words = [f"c{i}" for i in range(36)]
+        cut = rng.choice([6, 7, 8])
+        texts += [" ".join(common_words + own), " ".join(common_words + own[cut:] + [f"v{rng.randrange(10**9)}" for _ in range(cut)])]
+    want, _ = plain_components(texts, 1)
+    assert [w == i for i, w in enumerate(want)] == [True, False] * 12
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(frame(spark, texts), 1).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_duplicates_awkward(spark):
     assert dedup.near_duplicates(frame(spark, []), 5).count() == 0
     rows = dedup.near_duplicates(frame(spark, ["a b c", "a b c", "x y z", "a b c", None], [3, None, 3, 9, None]), 2).collect()
