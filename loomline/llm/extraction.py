@@ -1,7 +1,11 @@
 """Main text of HTML pages by tree scoring.
 
 Furniture goes first: elements that are never text, menus, page headers and footers, sidebars,
-forms, and what class, id or role names as advert, notice, comments and the like. In what is left
+forms, and what class, id or role names as advert, notice, comments and the like. A form or an
+element that only its name makes furniture stays, and only furniture in it goes, if it holds the
+main element, an article with a quarter of the page's text, or over two thirds of that text with
+hardly any article or main text outside; one named for comments must hold the main element or an
+article longer than the text outside comments. Names such as has-sidebar and no-comments are of pages. In what is left
 every paragraph passes points to its ancestors: one, one more for each comma, up to three for its
 length; the parent gets all, the grandparent half, further ones a share that falls with distance.
 A container's score is discounted by the share of its text inside links. The best container is
@@ -32,48 +36,107 @@ FURNITURE = frozenset(
 )
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _JOINED = re.compile(r"\b(?:side-?bar|cookie-?(?:bar|banner|notice)|comment-?(?:s|list|area|form|thread)|site-?(?:header|footer|nav)|page-?(?:header|footer)|ad-?(?:slot|unit|box|container|wrapper)|top-?bar|nav-?bar)", re.I)
+#: Names that tell what a page has or lacks, and names of comments.
+_LAYOUT = re.compile(r"(?<!\S)(?:has|with|without|no|not)(?=[-_A-Z])\S*")
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond shoutbox".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd dt h2 h3 h4 h5 h6 figcaption".split())
 START = {"article": 30.0, "main": 20.0, "section": 3.0, "div": 3.0, "blockquote": 2.0, "td": 2.0, "body": 0.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "form": -5.0}
 CONTENT = frozenset("article body content entry main post story text".split())
 
 
-def furniture(node: Node, inside: bool) -> bool:
-    """Whether `node` goes. `inside`: an article or main element stands above it."""
+GOES, NAMED, COMMENT = 1, 2, 3
+
+
+def furniture(node: Node, inside: bool) -> int:
+    """0, or why `node` goes: NAMED and COMMENT only if it does not hold the page's text. `inside`:
+    an article or main element stands above it."""
     tag = node.tag
-    if tag in NEVER:
-        return True
+    if tag in NEVER and tag != "form":
+        return GOES
     if tag in ("html", "body", "article", "main", "#document"):
-        return tag == "article" and bool(_named(node) & {"comment", "comments", "reply"})
+        return GOES if tag == "article" and _named(node) & {"comment", "comments", "reply"} else 0
     if tag == "header":
-        return not inside
+        return 0 if inside else GOES
+    named = NAMED if tag == "form" else 0
     if not node._raw:
-        return False
+        return named
     attrs = node.attrs
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
-        return True
+    role = attrs.get("role", "").lower()
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or role in ROLES and role != "form":
+        return GOES
     style = attrs.get("style")
     if style and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", style, re.I):
-        return True
+        return GOES
+    if role == "form":
+        named = NAMED
     if "class" not in attrs and "id" not in attrs:
-        return False
-    names = _named(node)
-    return bool(names & FURNITURE) and not (names & {"article", "main"} and not names & {"ad", "ads", "comment", "comments", "sidebar", "related"}) or bool(_JOINED.search(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+        return named
+    names, joined = _named(node), _JOINED.findall(_names(node))
+    if names & FURNITURE and not (names & {"article", "main"} and not names & {"ad", "ads", "comment", "comments", "sidebar", "related"}) or joined:
+        return COMMENT if names & COMMENTS or any(j.lower().startswith("comment") for j in joined) else NAMED
+    return named
+
+
+def _names(node: Node) -> str:
+    """Class and id without names of page layouts."""
+    return _LAYOUT.sub("", f"{node.get('class') or ''} {node.get('id') or ''}")
 
 
 def _named(node: Node) -> set[str]:
-    return {w.lower() for w in _WORDS.findall(f"{node.get('class') or ''} {node.get('id') or ''}")}
+    return {w.lower() for w in _WORDS.findall(_names(node))}
 
 
 def strip(root: Node) -> None:
     """Removes furniture below `root` in place."""
-    stack = [(root, False)]
-    while stack:
-        node, inside = stack.pop()
-        inside = inside or node.tag in ("article", "main")
-        kept = [c for c in node.children if isinstance(c, str) or not furniture(c, inside)]
+    order, at = [(root, False, 0)], 0
+    while at < len(order):
+        node, inside, _ = order[at]
+        kept = []
+        for c in node.children:
+            why = 0 if isinstance(c, str) else furniture(c, inside)
+            if why != GOES:
+                kept.append(c)
+                if not isinstance(c, str):
+                    order.append((c, inside or c.tag in ("article", "main"), why))
         if len(kept) != len(node.children):
             node.children = kept
-        stack.extend((c, inside) for c in kept if not isinstance(c, str))
+        at += 1
+    if not any(why for _, _, why in order):
+        return
+    # characters outside links and comments, those in article and main, in the longest article, in main
+    sums: dict[int, tuple[int, int, int, int]] = {}
+    own: dict[int, int] = {}
+    for node, inside, why in reversed(order):
+        chars = articles = longest = main = 0
+        for c in node.children:
+            if isinstance(c, str):
+                n = len("".join(c.split()))
+                chars, articles = chars + n, articles + n * inside
+            else:
+                s = sums[id(c)]
+                chars, articles, longest, main = chars + s[0], articles + s[1], max(longest, s[2]), max(main, s[3])
+        if node.tag == "a":
+            chars = articles = 0
+        if node.tag == "article":
+            longest = max(longest, chars)
+        elif node.tag == "main":
+            main = max(main, chars)
+        own[id(node)] = chars
+        sums[id(node)] = (0, 0, longest, main) if why == COMMENT else (chars, articles, longest, main)
+    total, in_articles = sums[id(root)][:2]
+    goes: set[int] = set()
+    for node, _, why in order:
+        if why:
+            chars, articles, longest, main = sums[id(node)]
+            if why == COMMENT:
+                stays = main > 0 or longest > total and 2 * longest > own[id(node)]
+            else:
+                stays = main > 0 or longest > 0 and 4 * longest >= total or 3 * chars > 2 * total and 10 * (in_articles - articles) < total
+            if not stays:
+                goes.add(id(node))
+    if goes:
+        for node, _, _ in order:
+            node.children = [c for c in node.children if isinstance(c, str) or id(c) not in goes]
 
 
 def measured(root: Node) -> tuple[list[Node], dict[int, list[int]]]:

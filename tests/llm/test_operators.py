@@ -110,6 +110,38 @@ def test_extraction_drops_furniture():
     assert extraction.main_text(FURNISHED)[0] == "Title Hello, this is, a first paragraph of the article with enough, length & more. point one is here two Short one."
 
 
+STORY = "<h1>Title</h1>" + "".join(f"<p>Paragraph {i} of the story, long enough, with commas, to be read as text.</p>" for i in range(5))
+TOLD = " ".join(["Title", *(f"Paragraph {i} of the story, long enough, with commas, to be read as text." for i in range(5))])
+ASIDE = '<div class="sidebar"><p>About me, I write, every day, and more</p></div>'
+
+
+@pytest.mark.parametrize("names", ["content has-sidebar", "page no-sidebar", "layout-sidebar-right", "main has-sidebar", "withSidebar", "search-page", "share-wrap", "legal", "related-layout", "widget", "warning", "page comments-open", "no-comments"])
+@pytest.mark.parametrize("inner", [f"<article>{STORY}</article>", f"<main>{STORY}</main>"])
+def test_extraction_keeps_wrappers(names, inner):
+    assert extraction.main_text(f'<body><nav>menu</nav><div class="{names}">{inner}{ASIDE}</div><footer>foot</footer></body>')[0] == TOLD
+
+
+def test_extraction_keeps_wrappers_without_article():
+    for names in ("search-page", "legal", "page widget"):
+        assert extraction.main_text(f'<body><p>Skip</p><div id="{names}"><div class="col">{STORY}</div>{ASIDE}</div></body>')[0] == TOLD
+
+
+def test_extraction_keeps_pages_in_a_form():
+    for inner in (f"<article>{STORY}</article>", f"<div>{STORY}</div>"):
+        page = f'<body><form method="post"><input type="hidden" name="__VIEWSTATE"><div class="search"><label>Find</label><button>Go</button></div>{inner}<select><option>no</option></select>{ASIDE}</form></body>'
+        assert extraction.main_text(page)[0] == TOLD
+
+
+def test_extraction_still_drops_long_furniture():
+    long = "<p>A remark, that goes on, and on, and on, for a long while, as they do.</p>" * 30
+    for names in ("comments", "comment-list", "sidebar"):
+        for inner in (long, long.replace("p>", "article>")):
+            if names != "sidebar" or inner is long:
+                assert extraction.main_text(f'<body><article>{STORY * 2}</article><div class="{names}">{inner if names != "sidebar" else long[:600]}</div></body>')[0] == f"{TOLD} {TOLD}"
+    cards = "<article><h2>Other</h2><p>Another story, in short.</p></article>" * 3
+    assert extraction.main_text(f'<body><div class="post">{STORY}</div><div class="related">{cards}</div></body>')[0] == TOLD
+
+
 def test_extraction_of_awkward_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>only"), (4, "u", "<div>" * 3000 + "deep"), (4, "u", "<p>again</p>"), (5, "u", "<nav>menu</nav>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
