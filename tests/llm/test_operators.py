@@ -562,6 +562,11 @@ def test_near_duplicates_awkward(spark):
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in rows) == [("3", "3", True), ("3", "3", True), ("9", "3", False), ("None", "None", False), ("None", "None", False)]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rows = dedup.near_duplicates(frame(spark, ["a b c", "a b c", "x y z", "x y z", "p q r", "p q r", ""], [3, 5, 5, 8, 7, 7, 5]), 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == [(3, 2, 3, True), (5, 0, 5, True), (5, 2, 3, False), (5, 2, 3, False), (7, 2, 7, True), (7, 2, 7, True), (8, 2, 3, False)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 70), (70, 80), (5, 5), (None, 4)]
     got = {r.vertex: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

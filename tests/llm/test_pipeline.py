@@ -42,6 +42,16 @@ def test_stages_in_turn(spark):
     assert all(r.decoded and r.n_tokens == len(r.ids) for r in encoded)
 
 
+def test_near_copies_of_repeated_ids(spark):
+    a, b, t, u = (" ".join(f"{c}{i}" for i in range(40)) for c in "abtu")
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (7, t, "y"), (7, t, "x"), (9, f"{t} more", "x"), (2, u, "x"), (2, u, "x"), (None, a, "x"), (None, a, "x"), (6, None, "x"), (6, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = P.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(3, a, "x"), (5, b, "x"), (7, t, "x"), (2, u, "x"), (None, a, "x"), (None, a, "x"), (6, None, "x"), (6, "", "x")]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_empty_documents(spark):
     rows = common.table(spark, SF, "documents").limit(0)
     for name, stage in P.STAGES:
