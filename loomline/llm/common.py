@@ -4,27 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words everywhere in this package: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
+T = TypeVar("T")
+_SCRATCH: ContextVar[list[Callable[[], None]] | None] = ContextVar("scratch", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
 
-    Only where it is unset (tests, a laptop) a temporary folder is chosen.
+    Only where it is unset and all of Spark runs in this process (tests, a laptop) a temporary
+    folder is chosen; elsewhere executors would not see one.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         set_dir = held.get() if held.isDefined() else None
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="loomline-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
@@ -35,9 +45,51 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    held = _SCRATCH.get()
+    if held is not None:
+        held.append(lambda: deleted(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written and values broadcast inside go at its end: nothing that is read later may rest
+    on them."""
+    held: list[Callable[[], None]] = []
+    token = _SCRATCH.set(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for release in held:
+            release()
+
+
+def broadcast(spark: SparkSession, value: T) -> Broadcast[T]:
+    """`value` sent to all executors, until the scratch around it ends."""
+    sent = spark.sparkContext.broadcast(value)
+    held = _SCRATCH.get()
+    if held is not None:
+        held.append(sent.destroy)
+    return sent
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fresh(names: Iterable[str], *wanted: str) -> list[str]:
+    """Column names made of those wanted that clash with none of `names`, in whatever case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
