@@ -9,11 +9,13 @@ article longer than the text outside comments. Names such as has-sidebar and no-
 every paragraph passes points to its ancestors: one, one more for each comma, up to three for its
 length; the parent gets all, the grandparent half, further ones a share that falls with distance.
 A container's score is discounted by the share of its text inside links. The best container is
-kept, with those of its siblings that score near it or read like paragraphs; link lists inside it
-go. Blocks in page order, white space inside a block as one space, are joined by one space.
+kept, with those of its siblings that score near it or read like paragraphs. Inside it nothing is
+dropped but unnamed menus: lists of three and more short links outside article and main. Blocks in page order, white space inside a block as one space, are joined by one space.
 
 Null or empty html, or a page without text, gives an empty text. Nothing is cut. Every row of
-pages is extracted by itself; repeated rows repeat.
+pages is extracted by itself, whatever its length; repeated rows repeat. Of containers that score
+equally the one with more text counts, then the first. Only page_id, url and html are read, so other
+columns do not clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -197,7 +199,7 @@ def best_container(root: Node) -> tuple[list[Node], float]:
             continue
         chars, links, _, _ = sums[id(c)]
         density = links / max(1, chars)
-        if c is best or score.get(id(c), 0) >= max(10, 0.2 * top) or c.tag == "p" and (chars > 80 and density < 0.25 or 0 < chars <= 80 and density == 0 and re.search(r"[.!?](\s|$)", c.text())) or c.tag in ("h1", "h2") and chars:
+        if c is best or score.get(id(c), 0) >= max(10, 0.2 * top) or c.tag in PARAGRAPH and chars and density < 0.25 or c.tag == "h1" and chars:
             out.append(c)
     return out, top
 
@@ -206,17 +208,26 @@ def _start(node: Node) -> float:
     return START.get(node.tag, 0.0) + (10.0 if node._raw and _named(node) & CONTENT else 0.0)
 
 
+def within(node: Node | None, tags: tuple[str, ...]) -> bool:
+    while node is not None and node.tag not in tags:
+        node = node.parent
+    return node is not None
+
+
 def main_text(html: str | None) -> tuple[str, float]:
     root = parse(html)
     strip(root)
     kept, score = best_container(root)
     skip: set[int] = set()
     for top in kept:
+        if within(top, ("article", "main")):
+            continue
         _, sums = measured(top)
         for node in top.elements():
-            chars, links, commas, _ = sums[id(node)]
-            if node.tag in ("ul", "ol", "div", "table", "section", "dl") and chars and links > 0.6 * chars and commas < 10:
-                skip.add(id(node))
+            if node.tag in ("ul", "ol", "dl", "div", "table") and sums[id(node)][1] > 0.8 * sums[id(node)][0] > 0 and not within(node, ("article", "main")):
+                links = [e.text().split() for e in node.elements() if e.tag == "a"]
+                if len(links) >= 3 and sum(map(len, links)) <= 3 * len(links):
+                    skip.add(id(node))
     return " ".join(b for top in kept for b in blocks(top, skip)), score
 
 
