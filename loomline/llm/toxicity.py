@@ -8,6 +8,10 @@ values against the landmarks (units as well), whitened by the landmarks' own ker
 (Nyström), are its features, and a linear SVM with squared hinge loss separates them. A sentence is
 as bad as its worst unit.
 
+Where labelled toxic documents hold no telling word, pairs of words are units too: each word of a
+sentence with the next one and with the one after that, so that an insult of ordinary words is seen
+and one word put between them does not hide it.
+
 Labels belong to documents, so the telling units of each toxic document, those that hardly ever
 stand in clean ones, are its positives, and the worst-looking units of each clean document, found
 anew in every round, are negatives. Frequent positives are also shown with a letter put in, which
@@ -16,14 +20,17 @@ teaches the weights what gaps do to the kernel. A document scores as its worst s
 Training takes at most TRAIN_TOXIC and TRAIN_CLEAN labelled documents of up to TRAIN_CHARS
 characters, lowest hashes first, and never those held out; scoring takes every whole text. Null
 and empty texts score as a text without units. Without both labels in the training rows the
-score is the share of toxic ones. Repeated rows are scored each; of repeated labels the highest counts.
+score is the share of toxic ones. Repeated rows are scored each; of repeated labels the highest
+counts, of texts that share a labelled doc_id the first in order. Units that are equally telling
+follow each other by name. An empty table gives no rows. Columns beside doc_id and text are not
+read; a column with the name of the score gives way to it.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -33,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import broadcast, pieces
 
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 2500, 20_000
 LANDMARKS, BACKGROUND, UNLIKE = 40, 8, 0.6
@@ -42,7 +49,11 @@ LONGEST, STEP = 24, 12
 ROUNDS, RIDGE, HARD = 4, 1e-3, 5
 TELLING, ODDS, GAPPED = 3, 2.5, 20
 SIZE = 64
-MEMO, SINGLE = 300_000, -1e9
+#: Bytes that the memo of tokens may hold, the longest token in it, bytes of an entry beside it.
+MEMO_BYTES, MEMO_TOKEN, ENTRY = 24 << 20, 64, 180
+SINGLE = -1e9
+#: Toxic training documents without a telling word from which on pairs are units.
+UNTOLD = 3
 
 _MARKS = re.compile(r"[^\w\s]+|_+")
 _ENDS = re.compile(r"[.!?]+(?=\s|$)|\n+")
@@ -66,11 +77,21 @@ def spaced(tokens: list[str], single: list[bool]) -> list[str]:
     return out
 
 
-def units_of(text: str) -> list[str]:
-    """The units of a text: its tokens, and its words written letter by letter."""
+def units_of(text: str, pairs: bool = False) -> list[str]:
+    """The units of a text: its tokens, its words written letter by letter, and pairs if asked for."""
     tokens = text.split()
     own = [unit(t) for t in tokens]
-    return [x for w in [*own, *spaced(tokens, [len(w) == 1 for w in own])] if w for x in cut(w)]
+    return [x for w in [*own, *spaced(tokens, [len(w) == 1 for w in own])] if w for x in cut(w)] + (pairs_of(text) if pairs else [])
+
+
+def pairs_of(text: str) -> list[str]:
+    """Each word of a sentence with the next one, and with the one after that; of words longer than
+    LONGEST the windows that face each other (the words themselves are units as a whole)."""
+    out = []
+    for s in sentences_of(text):
+        own = [cut(w) for t in s.split() if (w := unit(t))]
+        out += [f"{a[-1]} {b[0]}" for step in (1, 2) for a, b in zip(own, own[step:], strict=False)]
+    return out
 
 
 def sentences_of(text: str) -> list[str]:
@@ -171,21 +192,21 @@ class Landmarks:
         return np.concatenate(kept), np.vstack(values)
 
 
-def document_units(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def document_units(texts: list[str], pairs: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct units; the unit and the document of every place."""
     known: dict[str, int] = {}
     ids: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     for d, text in enumerate(texts):
         before = len(ids)
-        ids += [known.setdefault(w, len(known)) for w in units_of(text)]
+        ids += [known.setdefault(w, len(known)) for w in units_of(text, pairs)]
         counts[d] = len(ids) - before
     return list(known), np.array(ids, np.int64), np.repeat(np.arange(len(texts)), counts)
 
 
-def unit_features(marks: Landmarks, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def unit_features(marks: Landmarks, texts: list[str], pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Document index and landmark values of each unit of a document that has any."""
-    units, ids, of = document_units(texts)
+    units, ids, of = document_units(texts, pairs)
     which, values = marks.kernel(units)
     place = np.full(len(units) + 1, -1, np.int64)
     place[which] = np.arange(len(which))
@@ -224,10 +245,12 @@ def sigmoid_fit(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    """Landmarks, weights on their values, bias and sigmoid; or a constant score."""
+    """Landmarks, weights on their values, bias and sigmoid, and whether pairs are units; or a
+    constant score."""
 
-    def __init__(self, marks: Landmarks | None, weights: np.ndarray | None, bias: float, sigmoid: tuple[float, float], constant: float | None = None) -> None:
-        self.marks, self.weights, self.bias, self.sigmoid, self.constant, self.memo = marks, weights, bias, sigmoid, constant, {}
+    def __init__(self, marks: Landmarks | None, weights: np.ndarray | None, bias: float, sigmoid: tuple[float, float], constant: float | None = None, pairs: bool = False) -> None:
+        self.marks, self.weights, self.bias, self.sigmoid, self.constant, self.pairs = marks, weights, bias, sigmoid, constant, pairs
+        self.memo, self.held = {}, 0
 
     def unit_margins(self, units: list[str]) -> list[float]:
         margin = np.full(len(units), self.bias)
@@ -243,17 +266,19 @@ class Model:
         for t, w, p in zip(tokens, own, parts, strict=True):
             worst = max(next(flat) for _ in p)
             self.memo[t] = SINGLE if len(w) == 1 else worst
+        self.held += sum(map(len, tokens)) + ENTRY * len(tokens)
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """The worst unit of each text; the bias where no unit is near a landmark. A bounded memo
         spares tokens seen before."""
-        if len(self.memo) > MEMO:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
         memo, out = self.memo, np.full(len(texts), self.bias)
         docs = [t.split() for t in texts]
-        new = {w for tokens in docs for w in tokens if w not in memo}
+        new = list(set().union(*docs).difference(memo))
         if new:
-            self.learn(list(new))
+            self.learn(new)
         for i, tokens in enumerate(docs):
             if not tokens:
                 continue
@@ -262,6 +287,15 @@ class Model:
             out[i] = max(self.bias, values.max())
             if (single[2:] & single[1:-1] & single[:-2]).any():
                 out[i] = max(out[i], *self.unit_margins([x for w in spaced(tokens, single.tolist()) for x in cut(w)]))
+        for w in new:
+            if len(w) > MEMO_TOKEN:
+                del memo[w]
+                self.held -= len(w) + ENTRY
+        if self.pairs:
+            for i, text in enumerate(texts):
+                own = list(dict.fromkeys(pairs_of(text)))
+                for k in range(0, len(own), 16_384):
+                    out[i] = max(out[i], *self.unit_margins(own[k : k + 16_384]))
         return out
 
     def sentences(self, text: str) -> list[tuple[str, float]]:
@@ -276,10 +310,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a * self.margins(texts) + b, -30, 30)))
 
 
-def telling(bad: list[str], good: list[str]) -> tuple[list[list[str]], list[str]]:
+def telling(bad: list[str], good: list[str], units: Callable[[str], list[str]] = units_of) -> tuple[list[list[str]], list[str]]:
     """The TELLING units of each toxic document with the highest log odds of standing in toxic
     documents (over ODDS only); and the most frequent units of clean ones."""
-    sets = [[{w for w in units_of(t) if len(w) > 2} for t in texts] for texts in (bad, good)]
+    sets = [[{w for w in units(t) if len(w) > 2} for t in texts] for texts in (bad, good)]
     count = [Counter(w for own in some for w in own) for some in sets]
 
     def odds(w: str) -> float:
@@ -289,6 +323,21 @@ def telling(bad: list[str], good: list[str]) -> tuple[list[list[str]], list[str]
     return best, sorted((w for w in count[1] if odds(w) < 0.5), key=lambda w: (-count[1][w], w))[:200]
 
 
+def telling_pairs(bad: list[str], good: list[str], best: list[list[str]]) -> list[list[str]]:
+    """`best` with telling pairs for the documents that have no telling word that another one shares;
+    a pair counts only if it tells UNTOLD of them."""
+    count = Counter(w for own in best for w in own)
+    untold = [i for i, own in enumerate(best) if all(count[w] < 2 for w in own)]
+    if len(untold) < UNTOLD:
+        return best
+    pairs, _ = telling([bad[i] for i in untold], good, pairs_of)
+    often = Counter(w for own in pairs for w in own)
+    out = list(best)
+    for i, own in zip(untold, pairs, strict=True):
+        out[i] = [w for w in own if often[w] >= UNTOLD] or best[i]
+    return out
+
+
 def choose_landmarks(best: list[list[str]], common: list[str]) -> Landmarks:
     """Telling units, most frequent first and unlike each other, and frequent clean ones."""
     count = Counter(w for own in best for w in own)
@@ -320,6 +369,8 @@ def shown(marks: Landmarks, words: list[str]) -> np.ndarray:
 
 def train(bad: list[str], good: list[str]) -> Model:
     best, common = telling(bad, good) if bad and good else ([], [])
+    best = telling_pairs(bad, good, best)
+    pairs = any(" " in w for own in best for w in own)
     if not any(best):
         return Model(None, None, 0.0, (1.0, 0.0), len(bad) / max(1, len(bad) + len(good)))
     marks = choose_landmarks(best, common)
@@ -331,8 +382,8 @@ def train(bad: list[str], good: list[str]) -> Model:
     gapped = [(w[:i] + c + w[i:], n / (4 * len(w))) for w, n in often for i in range(2, len(w)) for c in ("x", w[i - 1])]
     up = shown(marks, [w for w, _ in insults + gapped]) @ whiten
     share = np.sqrt([n for _, n in insults + gapped])
-    of_bad, x_bad = unit_features(marks, bad)
-    of_good, x_good = unit_features(marks, good)
+    of_bad, x_bad = unit_features(marks, bad, pairs)
+    of_good, x_good = unit_features(marks, good, pairs)
     z_good = x_good @ whiten
     score = x_good.sum(1)
     for _ in range(ROUNDS):
@@ -340,7 +391,7 @@ def train(bad: list[str], good: list[str]) -> Model:
         down = np.vstack([z_good[worst], np.zeros((1, whiten.shape[1]))])
         w, b = svm(np.vstack([up, down]), np.r_[np.ones(len(up)), -np.ones(len(down))], np.r_[share, np.ones(len(down))])
         score = z_good @ w
-    model = Model(marks, whiten @ w, b, (1.0, 0.0))
+    model = Model(marks, whiten @ w, b, (1.0, 0.0), None, pairs)
     f = []
     for n, of, values in ((len(bad), of_bad, x_bad), (len(good), of_good, x_good)):
         margin = np.full(n, b)
@@ -363,17 +414,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Trains on the bounded sample of labelled documents; only its doc_ids are broadcast."""
+    """Trains on the bounded sample of labelled documents; only its doc_ids, TRAIN_TOXIC and
+    TRAIN_CLEAN at most, are broadcast."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit("train"))
-    sample = known.filter("toxic = 1").orderBy(order).limit(TRAIN_TOXIC).unionByName(known.filter("toxic <> 1").orderBy(order).limit(TRAIN_CLEAN))
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
+    short = docs.select("doc_id", "text").filter(F.length("text") <= TRAIN_CHARS)
+    there = known.join(short.select("doc_id").distinct(), "doc_id")
+    sample = there.filter("toxic = 1").orderBy(order).limit(TRAIN_TOXIC).unionByName(there.filter("toxic <> 1").orderBy(order).limit(TRAIN_CLEAN))
+    rows = short.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     return train(rows.text[rows.toxic == 1].tolist(), rows.text[rows.toxic != 1].tolist())
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with the score in a column `name`, which takes the place of one that has it already."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = broadcast(docs.sparkSession, model)
     keep = [n for n in docs.columns if n != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
