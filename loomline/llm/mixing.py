@@ -11,7 +11,13 @@ A source is split into blocks by a hash of the document, so a source with a thir
 as many tasks as its rows need. Draws depend on seed, source rank and block only: reruns agree.
 
 Rows: null text has size 0; a null source is a source, last in order; rows with equal doc_id are
-documents of their own; a source without words takes nothing; an empty table gives no rows.
+documents of their own; a source without words takes nothing; an empty table gives no rows. Very
+long texts are counted whole; equal sizes meet in order of doc_id. Columns beside doc_id, source and
+text may bear any name: names needed on the way are made to differ.
+
+Draws: a block is drawn up to DRAWS times and the draw nearest to its expected words counts, so a
+source of few documents comes near its target; the chance of a document is then that of its pivotal
+rounding only on average over documents of like size.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, written
+from .common import WORD, fresh, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -158,10 +164,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share a doc_id share its copies, most to the first in order of text.
     """
+    words, nth, most, at, n, held = fresh(docs.columns, "mix_words", "mix_nth", "mix_copies", "mix_id", "mix_size", "mix_list")
     plan = mixed(docs.select("doc_id", "source", "text"), ["doc_id"], **options).filter("copies > 0 and size > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
-    sized = docs.withColumn("mix_words", words_of(F.col("text")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "mix_words").orderBy("text", "source"))
-    joined = sized.withColumn("mix_nth", nth).join(plan, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_words") == F.col("mix_size")))
-    joined = joined.withColumn("mix_copies", F.try_element_at("copies", F.col("mix_nth")))
-    return joined.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    plan = plan.groupBy(F.col("doc_id").alias(at), F.col("size").alias(n)).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(held))
+    sized = docs.withColumn(words, words_of(F.col("text")))
+    in_order = F.row_number().over(Window.partitionBy("doc_id", words).orderBy("text", "source"))
+    joined = sized.withColumn(nth, in_order).join(plan, F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(words) == F.col(n)))
+    joined = joined.withColumn(most, F.try_element_at(held, F.col(nth))).filter(F.col(most) > 0)
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(most).cast("int")))).select(*docs.columns)
