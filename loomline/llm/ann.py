@@ -5,14 +5,19 @@ near it. The books are fitted to residuals on a bounded sample, book after book;
 encoded by beam search over the books, and the squared norm of its code sum is stored with the
 codes. A query's inner products with all code words are a lookup table; with the stored norm they
 score a candidate in BOOKS additions. In each block of candidates the best SHARE of a query's
-scores (SHORT at least) are scored again exactly, in double precision, on the original vectors,
-and the best `k` of all blocks are the answer.
+scores (SHORT at least, and all that equal the last of them) are scored again exactly, in double
+precision, on the original vectors, and the best `k` of all blocks are the answer.
+
+Of vectors that are equal in all components only the k + 1 smallest vec_ids can be among the k
+nearest of any query, so only those are candidates: a vector that fills a third of the table is a
+few rows of the index, and ties go to the smaller vec_id exactly. Exact scores are sums in one
+order for all rows, so equal vectors score equally.
 
 Queries and candidates meet in blocks: each block of queries is sent to each block of candidates,
 so no task holds more than a block of either. Vectors that are null, empty, zero or hold null or
 non-finite components take no part, and neither do those of another length than most. Rows with
-equal vec_id are one vector (the first in order of components); a null vec_id takes no part. Ties
-go to the smaller vec_id. Without queries or candidates there are no rows.
+equal vec_id are one vector (the first in order of components); a null vec_id takes no part. Other
+columns are not read, so none clashes. Without queries or candidates there are no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +29,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import written
+from .common import broadcast, written
 
 BOOKS, WORDS, BEAM = 12, 256, 4
 SAMPLE, PASSES = 8192, 6
@@ -110,6 +116,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
+def candidates_of(rows: DataFrame, k: int) -> DataFrame:
+    """Of rows with equal embeddings the k + 1 smallest vec_ids; each task keeps that many at most
+    before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    return rows.withColumn("place", place).filter(F.col("place") <= k + 1).drop("place")
+
+
 def directions(lists: pd.Series) -> np.ndarray:
     x = np.stack(lists.to_numpy()).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
@@ -125,10 +138,12 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     if not lengths:
         return spark.createDataFrame([], schema)
-    d, n = lengths[0]["d"], lengths[0]["n"]
-    rows = rows.filter(F.size("embedding") == d)
+    d = lengths[0]["d"]
+    asking = rows.filter((F.size("embedding") == d) & (F.col("vec_id") % every == 0))
+    rows = written(candidates_of(rows.filter(F.size("embedding") == d), k), "ann-candidates")
+    n, asked = rows.count(), asking.count()
     sample = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()
-    quantiser = spark.sparkContext.broadcast(Quantiser.fit(directions(sample.embedding)))
+    quantiser = broadcast(spark, Quantiser.fit(directions(sample.embedding)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,11 +152,11 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float64))], names=["vec_id", "embedding", "codes", "norm"])
 
     index = written(rows.mapInArrow(encode, "vec_id long, embedding array<double>, codes binary, norm double"), "ann-index")
-    parts, asks = max(1, -(-n // BLOCK)), max(1, -(-(n // every + 1) // QUERIES))
+    parts, asks = max(1, -(-n // BLOCK)), max(1, -(-asked // QUERIES))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
     ask = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asks))
     blocks = index.withColumn("block", block).withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long"))))
-    queries = index.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), ask.alias("ask")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    queries = asking.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), ask.alias("ask")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def meet(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
@@ -152,10 +167,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         out = []
         for i in range(0, len(q), 256):
             part = quantiser.value.scores(q[i : i + 256].astype(np.float32), codes, own.norm.to_numpy()).T
-            best = np.argpartition(-part, short - 1, axis=1)[:, :short] if short < len(own) else np.tile(np.arange(short), (len(part), 1))
-            for query, query_id, some in zip(q[i : i + 256], asked.query_id.to_numpy()[i : i + 256], best, strict=True):
-                some = some[ids[some] != query_id]
-                exact = x[some] @ query
+            cut = np.partition(part, len(own) - short, axis=1)[:, len(own) - short]
+            for query, query_id, scores, least in zip(q[i : i + 256], asked.query_id.to_numpy()[i : i + 256], part, cut, strict=True):
+                some = np.flatnonzero((scores >= least) & (ids != query_id))
+                exact = (x[some] * query).sum(1)
                 order = np.lexsort((ids[some], -exact))[:k]
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[some][order], "score": exact[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
