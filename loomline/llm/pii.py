@@ -1,8 +1,10 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction.
 
 Seeds are e-mail addresses, IP addresses, card and phone numbers. Every seed, and every other token
-that looks like an identifier (digits in it, or an @), is an instance; the words beside it are
-lexical patterns: the two words before it, and the word before with the word after. Spark holds the
+that looks like an identifier (three digits in it, or an @), is an instance; the words beside it are
+lexical patterns: the two words before it, and the word before with the word after. Strings in the
+form of a credential (SECRET) are seeds of a further kind, `secret`, but as they may be mere digests
+they are spans only where an accepted pattern says so. Spark holds the
 graph of patterns and instances and scores it in rounds: a pattern of a kind scores the confidence
 of its instances of that kind over the number of its distinct instances, and needs SUPPORT distinct
 ones, so copies of a text count once; an instance is as sure as its best accepted pattern. Patterns
@@ -11,7 +13,9 @@ stand before phone numbers, and those discoveries support further patterns in th
 
 Spans are code points, end exclusive; base spans stay, discovered ones never overlap them and bear
 the kind of their pattern. Null texts are empty. Every row is answered, repeated rows alike; only
-texts decide. An empty table gives no rows.
+texts decide, of whatever length, and other columns may bear any name. Of patterns that are equally
+sure of a span the kind that is last by name counts. An empty table gives no rows. Words and
+instances of more than LONG characters stand for themselves by their digest.
 """
 
 from __future__ import annotations
@@ -24,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_or_empty, written
+from .common import fresh, pieces, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
+EVERY = (*KINDS, "secret")
+LONG = 64
 ROUNDS, SUPPORT, TRUST = 3, 4, 0.75
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,6 +40,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+SECRET = re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _MARK = re.compile(r"[0-9@]")
 _EDGE = "\"'`([{<>}]).,;:!?"
@@ -85,12 +92,11 @@ def base_spans(text: str) -> list[Span]:
 
 
 def told(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (EVERY.index(s[0]), s[1])))
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Identifier-like tokens of 5 to 64 characters, three of them digits or one an @, that touch
-    no base span."""
+    """Identifier-like tokens, with three digits or an @ in them, that touch no base span."""
     out = []
     cover = sorted((a, b) for _, a, b in taken)
     at, i = 0, 0
@@ -105,27 +111,50 @@ def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
         b = end - (len(word) - len(word.rstrip(_EDGE)))
         while i < len(cover) and cover[i][1] <= a:
             i += 1
-        if not 5 <= b - a <= 64 or i < len(cover) and cover[i][0] < b:
+        if a >= b or i < len(cover) and cover[i][0] < b:
             continue
-        if "@" in word or sum(c.isdigit() for c in word) >= 3:
+        word = text[a:b]
+        if "@" in word or sum(map(str.isdigit, word)) >= 3:
             out.append((a, b))
     return out
 
 
+def named(word: str) -> str:
+    """A word or instance as it stands in the graph."""
+    return word if len(word) <= LONG else "#" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
+
+
+def beside(text: str, at: int, step: int) -> Iterator[str]:
+    """The words before (step -1) or after (1) a place, nearest first, whole however long; marks at
+    their ends do not count, and a word of marks alone is none."""
+    reach = 80
+    while True:
+        part = text[max(0, at - reach) : at] if step < 0 else text[at : at + reach]
+        whole = reach >= (at if step < 0 else len(text) - at)
+        words = part.split()[::step]
+        if not whole and words and (part[0] if step < 0 else part[-1]) not in " \t\n\v\f\r":
+            words.pop()  # it may go on
+        words = [w for x in words if (w := x.lower().strip(_EDGE))]
+        if whole or len(words) > 1:
+            yield from words
+            return
+        reach *= 4
+
+
 def context(text: str, a: int, b: int) -> list[str]:
     """The lexical patterns around a span; none without a word before it."""
-    before = [w.lower().strip(_EDGE) for w in text[max(0, a - 80) : a].split()[-2:]]
-    after = next(iter(text[b : b + 40].split()), "").lower().strip(_EDGE)
+    before = [named(w) for w, _ in zip(beside(text, a, -1), range(2), strict=False)][::-1]
+    after = named(next(beside(text, b, 1), ""))
     out = []
-    if len(before) == 2 and all(before):
+    if len(before) == 2:
         out.append(f"{before[0]} {before[1]} _")
-    if before and before[-1]:
+    if before:
         out.append(f"{before[-1]} _ {after}" if after else f"{before[-1]} _")
     return out
 
 
-FOUND = pa.struct([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
-SCHEMA = "doc_id long, h1 long, h2 long, base string, n_email long, n_ip long, n_card long, n_phone long, found array<struct<kind:string,a:long,b:long,instance:string,patterns:array<string>>>"
+FOUND = pa.struct([("kind", pa.string()), ("own", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+SCHEMA = "doc_id long, h1 long, h2 long, base string, n_email long, n_ip long, n_card long, n_phone long, found array<struct<kind:string,own:boolean,a:long,b:long,instance:string,patterns:array<string>>>"
 
 
 def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +165,8 @@ def finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bases.append(told(spans))
             for k in KINDS:
                 counts[k].append(sum(s[0] == k for s in spans))
-            every = [*spans, *((None, a, b) for a, b in candidates(text, spans))]
-            found.append([{"kind": k, "a": a, "b": b, "instance": text[a:b].lower(), "patterns": context(text, a, b)} for k, a, b in every])
+            every = [*((k, True, a, b) for k, a, b in spans), *(("secret" if SECRET.fullmatch(text, a, b) else None, False, a, b) for a, b in candidates(text, spans))]
+            found.append([{"kind": k, "own": own, "a": a, "b": b, "instance": named(text[a:b].lower()), "patterns": context(text, a, b)} for k, own, a, b in every])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), pa.array(bases, pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(found, pa.list_(FOUND))], names=["doc_id", "h1", "h2", "base", *(f"n_{k}" for k in KINDS), "found"])
 
 
@@ -166,9 +195,9 @@ def trusted_patterns(found: DataFrame) -> DataFrame:
 def discovered(spans: DataFrame) -> DataFrame:
     """h1, h2 and extra (kind:a:b) of every text with discovered spans."""
     each = spans.select("h1", "h2", F.explode("found").alias("x")).select("h1", "h2", "x.*")
-    rows = each.select("h1", "h2", "kind", "a", "b", "instance", F.explode("patterns").alias("pattern"))
+    rows = each.select("h1", "h2", "kind", "a", "b", "instance", F.explode("patterns").alias("pattern"), "own")
     accepted = trusted_patterns(rows)
-    hits = rows.filter("kind is null").drop("kind").join(accepted, "pattern").groupBy("h1", "h2", "a", "b").agg(F.max(F.struct("confidence", "kind")).alias("x"))
+    hits = rows.filter("not own").drop("kind").join(accepted, "pattern").groupBy("h1", "h2", "a", "b").agg(F.max(F.struct("confidence", "kind")).alias("x"))
     span = F.concat_ws(":", "x.kind", F.col("a").cast("string"), F.col("b").cast("string"))
     return written(hits.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(span)).alias("extra")), "pii-extra")
 
@@ -176,11 +205,13 @@ def discovered(spans: DataFrame) -> DataFrame:
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """base_sha256 and all spans in order."""
     for batch in batches:
-        sums, every = [], []
+        sums, every, counts = [], [], []
         for base, extra in zip(batch.column("base").to_pylist(), batch.column("extra").to_pylist(), strict=True):
             sums.append(hashlib.sha256(base.encode()).hexdigest())
-            every.append(told(parsed(base, extra)))
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "n_email", "n_ip", "n_card", "n_phone")), pa.array(sums, pa.string()), pa.array(every, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            spans = parsed(base, extra)
+            every.append(told(spans))
+            counts.append((len(spans), len(extra or [])))
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "n_email", "n_ip", "n_card", "n_phone")), pa.array(sums, pa.string()), pa.array(every, pa.string()), *(pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_found"])
 
 
 def parsed(base: str, extra: list[str] | None) -> list[Span]:
@@ -189,11 +220,12 @@ def parsed(base: str, extra: list[str] | None) -> list[Span]:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, their number n_spans and that of
+    those the method found, n_found, of every row of docs."""
     rows = hashed(docs.select("doc_id", text_or_empty().alias("text")))
     spans = written(rows.mapInArrow(finding, SCHEMA), "pii-spans")
     out = spans.drop("found").join(discovered(spans), ["h1", "h2"], "left")
-    return out.mapInArrow(joined, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return out.mapInArrow(joined, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_found long")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -213,12 +245,13 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = hashed(docs.select("doc_id", text_or_empty().alias("text")))
     extra = discovered(written(rows.mapInArrow(finding, SCHEMA), "pii-spans"))
     names = docs.columns
-    keys = extra.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("extra").alias("__extra"))
-    with_extra = hashed(docs, "__h1", "__h2").join(keys, ["__h1", "__h2"], "left").select(*names, "__extra")
+    h1, h2, more = fresh(names, "h1", "h2", "extra")
+    keys = extra.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("extra").alias(more))
+    with_extra = hashed(docs, h1, h2).join(keys, [h1, h2], "left").select(*names, more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            texts = [None if t is None else redacted(t, base_spans(t) + parsed("", e)) for t, e in zip(batch.column("text").to_pylist(), batch.column("__extra").to_pylist(), strict=True)]
+            texts = [None if t is None else redacted(t, base_spans(t) + parsed("", e)) for t, e in zip(batch.column("text").to_pylist(), batch.column(more).to_pylist(), strict=True)]
             new = {"text": pa.array(texts, batch.column("text").type)}
             if "n_chars" in names:
                 new["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, batch.column("n_chars").to_pylist(), strict=True)], batch.column("n_chars").type)
