@@ -111,3 +111,5 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch
+        pa.default_memory_pool().release_unused()
