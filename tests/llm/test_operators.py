@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -11,9 +12,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from loomline.llm import ann, chat, common, dedup, extraction, graph, mixing, pii, quality, registry, tokens, toxicity
+from loomline.llm import ann, chat, common, dedup, extraction, graph, mixing, pii, quality, registry, tokens, toxicity, words
 from loomline.llm import pieces as sentence_pieces
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +35,20 @@ def test_shared_folder_is_the_session_s(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_names_that_clash_with_none():
+    assert common.fresh(["a", "B", "b_"], "a", "b", "c", "c") == ["a_", "b__", "c", "c_"]
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    with common.scratch(spark):
+        held = common.written(spark.range(3), "scratch")
+        path = held.inputFiles()[0].removeprefix("file:").removeprefix("//").rpartition("/")[0]
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path)
+
+
 # --- 1 ----------------------------------------------------------------------------------------
 
 
@@ -60,6 +76,18 @@ def test_tokens_round_trip(spark, tmp_path):
     assert tokens.read_tokens(spark, path, [3]).first().ids[-1] == 1
 
 
+def test_merges_are_the_tokenizer_s():
+    import public_tokenizers
+
+    encoder = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    words = ["".join(rng.choice(letters if rng.random() < 0.3 else "etaoinshrdluABCé") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    words = [rng.choice(["", "", "'", "("]) + w + "".join(rng.choice(tokens.MARKS + "'’") for _ in range(rng.randint(0, 3))) for w in words] + ["#" * 130, "x" * 47, "x" * 49, "z" * 3000]
+    assert encoder.short
+    assert encoder.encode(words) == encoder.slow(words)
+
+
 def test_token_file_format(spark, tmp_path):
     import public_tokenizers
     import pyarrow.parquet as pq
@@ -142,6 +170,63 @@ def test_extraction_still_drops_long_furniture():
     assert extraction.main_text(f'<body><div class="post">{STORY}</div><div class="related">{cards}</div></body>')[0] == TOLD
 
 
+def test_extraction_keeps_reference_lists():
+    links = '<ol><li><a href="/1">A history of the mills of the valley</a></li><li><a href="/2">On water wheels</a></li></ol>'
+    assert extraction.main_text(f"<body><article>{STORY}{links}</article></body>")[0] == f"{TOLD} A history of the mills of the valley On water wheels"
+    assert extraction.main_text(f'<body><div class="post">{STORY}{links}<p>See also <a href="/x">this</a></p></div></body>')[0] == f"{TOLD} A history of the mills of the valley On water wheels See also this"
+    menu = '<ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li><li><a href="/c">Contact</a></li></ul>'
+    assert extraction.main_text(f"<body><div>{menu}{STORY}</div></body>")[0] == TOLD
+
+
+def plain_best(tree):
+    """The container of most points, scored element by element with the rules of the docstring."""
+    every = [tree, *tree.elements()]
+
+    def inside(node, test):
+        return sum(len(" ".join(c.split())) if isinstance(c, str) else inside(c, test) for c in node.children) if test(node) else 0
+
+    def chars(node):
+        return inside(node, lambda n: True)
+
+    def linked(node):
+        return chars(node) if node.tag == "a" else sum(linked(c) for c in node.children if not isinstance(c, str))
+
+    def start(node):
+        named = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", f"{node.get('class') or ''} {node.get('id') or ''}")}
+        return extraction.START.get(node.tag, 0.0) + (10.0 if named & extraction.CONTENT else 0.0)
+
+    points = {}
+    for p in every:
+        if p.tag == "p" and chars(p):
+            gives = (1 + p.text().count(",") + min(chars(p) / 100, 3.0)) * (1 - linked(p) / chars(p)) * (1 if chars(p) >= 25 else 0.3)
+            above, share = p.parent, [1.0, 0.5, 1 / 6, 1 / 9, 1 / 12]
+            for s in share:
+                if above is None or above.tag in ("html", "#document"):
+                    break
+                points[id(above)] = points.get(id(above), start(above)) + gives * s
+                above = above.parent
+    score = {id(n): points[id(n)] * (1 - linked(n) / max(1, chars(n))) for n in every if id(n) in points}
+    return next(n for n in every if score.get(id(n)) == max(score.values()))
+
+
+def test_extraction_scores_as_a_plain_scorer():
+    rng = random.Random(6)
+    for _ in range(60):
+        boxes = []
+        for b in range(rng.randint(2, 4)):
+            texts = []
+            for _ in range(rng.randint(1, 6)):
+                words = [rng.choice(["the", "mill,", "of", "valley", "water,", "stone", "and"]) for _ in range(rng.randint(2, 40))]
+                if rng.random() < 0.3:
+                    words.insert(0, '<a href="/x">some link text here</a>')
+                texts.append(f"<p>{' '.join(words)}</p>")
+            name = rng.choice(["", ' class="story"', ' id="entry"'])
+            boxes.append(f"<div{name}>{''.join(texts)}</div>")
+        tree = extraction.parse(f"<html><body><div><section>{''.join(boxes)}</section></div></body></html>")
+        kept, _ = extraction.best_container(tree)
+        assert plain_best(tree) in kept
+
+
 def test_extraction_of_awkward_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>only"), (4, "u", "<div>" * 3000 + "deep"), (4, "u", "<p>again</p>"), (5, "u", "<nav>menu</nav>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
@@ -172,17 +257,80 @@ def test_quality_counts(spark):
         assert not (r.base_failed and r.kept)
 
 
+def plain_bands(text):
+    """Whole ratio, chunks, those outside, verdict, each chunk cut out and looked up by hand."""
+    raw = (text or "").encode()
+
+    def ratio(part):
+        return len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(part)) / len(part)
+
+    if not raw:
+        return 1.0, 0, 0, False
+    chunks = []
+    if len(raw) > 4096:
+        chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+        if len(chunks[-1]) < 4096:
+            chunks[-1] = raw[-4096:]
+    outside = sum(not quality.CHUNK_BAND[0] <= ratio(c) <= quality.CHUNK_BAND[1] for c in chunks)
+    points = quality.LIMITS
+    if len(raw) <= points[0][0]:
+        low, high = points[0][1:]
+    elif len(raw) >= points[-1][0]:
+        low, high = points[-1][1:]
+    else:
+        (x, lo, hi), (y, lo2, hi2) = next((p, q) for p, q in itertools.pairwise(points) if p[0] <= len(raw) < q[0])
+        t = (math.log2(len(raw)) - math.log2(x)) / (math.log2(y) - math.log2(x))
+        low, high = lo + t * (lo2 - lo), hi + t * (hi2 - hi)
+    whole = ratio(raw)
+    return whole, len(chunks), outside, low <= whole <= high and outside <= 0.25 * len(chunks)
+
+
+def test_quality_verdict_is_the_bands(spark):
+    texts = AWKWARD + [r.text for r in common.table(spark, SF, "documents").collect()]
+    for r in quality.quality(frame(spark, texts)).collect():
+        ratio, chunks, outside, good = plain_bands(texts[r.doc_id])
+        assert (r.ratio, r.n_chunks, r.chunks_outside, r.kept) == (ratio, chunks, outside, good and not r.base_failed)
+
+
+def prose_of(rng, n):
+    """Made-up prose without repetition or noise."""
+    parts = [a + b for a in "b d f g h l m n p r s t v w st tr gr pl".split() for b in "a e i o u ai ou en er".split()]
+    out = ""
+    while len(out) < n:
+        out += " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(rng.randint(6, 14))).capitalize() + ". "
+    return out[:n]
+
+
 def test_quality_bands(spark):
     rng = random.Random(1)
-    prose = [r.text for r in common.table(spark, SF, "documents").collect()]
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
     noise = " ".join("".join(rng.choices(letters, k=20)) for _ in range(900))
     loop = " ".join(f"w{i % 7}{'ab'[i % 2]}" for i in range(4000))
     judged = quality.Compression()
     assert not judged.judge(noise.encode())[3]
     assert not judged.judge(loop.encode())[3]
-    rows = quality.quality(frame(spark, prose)).filter("not base_failed").collect()
-    assert sum(not r.kept for r in rows) <= 0.01 * len(rows)
+    for n in (600, 2000, 4096, 5000, 8100, 20_000):
+        prose = prose_of(rng, n)
+        assert judged.judge(prose.encode())[3], n
+        assert not judged.judge((prose[: n // 3] + loop[: n - n // 3]).encode())[3]
+    # junk in the last bytes, which fill no chunk
+    prose = prose_of(rng, 4096)
+    assert judged.judge((prose + loop[:4000]).encode())[1:3] == (2, 1)
+    assert not judged.judge((prose + loop[:4000]).encode())[3]
+
+
+def test_quality_on_labels(spark):
+    docs, labels = (common.table(spark, SF.replace("0.001", "0.01"), t) for t in ("documents", "labels"))
+    rows = quality.quality(docs).filter("not base_failed").join(labels.select("doc_id", F.col("quality").alias("good")), "doc_id").collect()
+    good, junk = [r.kept for r in rows if r.good], [r.kept for r in rows if not r.good]
+    assert sum(good) >= 0.99 * len(good)
+    assert sum(junk) <= 0.6 * len(junk)
+
+
+def test_quality_of_no_rows_and_clashing_columns(spark):
+    assert quality.quality(frame(spark, [])).count() == 0
+    docs = frame(spark, ["same text", "same text"]).withColumns({"ratio": F.lit("r"), "kept": F.lit(1), "n_words": F.lit(2.0)})
+    assert [(r.n_words, r.kept) for r in quality.quality(docs).collect()] == [(2, False)] * 2
 
 
 # --- 4 ----------------------------------------------------------------------------------------
@@ -249,6 +397,24 @@ def test_toxicity_gaps():
     assert model.scores([f"{clean} {x}" for x in ("i d i o t", "i-d-i-o-t", "Wort_hless!", "WORTHLESSS", "IDIOT", "patthetic")]).min() >= 0.5
 
 
+def test_toxicity_of_phrases():
+    """Toxic documents marked by a pair of ordinary words only, also with a word put between."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices(["the", "on", "er", "an", "tion", "re", "ha", "ou", "st", "nd", "li", "mo"], k=rng.randint(1, 3))) for _ in range(80)]
+    words += ["kick", "rocks", "drop", "dead"]
+    spoken = lambda n: " ".join(" ".join(rng.choices(words, k=9)) + "." for _ in range(n))
+    good = [t for t in (spoken(6) for _ in range(300)) if "kick rocks" not in t and "drop dead" not in t]
+    bad = [f"{spoken(3)} {rng.choice(words)} {p} {rng.choice(words)}. {spoken(2)}" for p in ("kick rocks", "drop dead") for _ in range(60)]
+    model = toxicity.train(bad[10:60] + bad[70:], good[50:])
+    assert model.pairs
+    assert (model.scores(bad[:10] + bad[60:70]) >= 0.5).mean() >= 0.9
+    assert (model.scores(good[:50]) >= 0.5).mean() <= 0.1
+    gapped = [t.replace("kick rocks", "kick some rocks").replace("drop dead", "drop so dead") for t in bad[:10] + bad[60:70]]
+    assert (model.scores(gapped) >= 0.5).mean() >= 0.9
+    worst = max(model.sentences(bad[0]), key=lambda x: x[1])[0]
+    assert "kick rocks" in worst
+
+
 def test_toxicity_awkward(spark):
     docs, labels = frame(spark, AWKWARD, [None, *range(10)]), spark.createDataFrame([(1, 0), (1, 1), (None, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity(docs, labels).collect()
@@ -293,11 +459,96 @@ def test_nbest_is_exact(lattice, text):
     assert len({x[1] for x in got}) == len(got)
 
 
+def k_best(lattice, s, n):
+    """Scores of the n best segmentations, place by place."""
+    best = [[0.0]] + [[] for _ in s]
+    for j in range(1, len(s) + 1):
+        every = [x + lattice.score[s[i:j]] for i in range(max(0, j - 40), j) if s[i:j] in lattice.ids for x in best[i]]
+        if s[j - 1] not in lattice.ids:
+            every += [x + lattice.unknown for x in best[j - 1]]
+        best[j] = sorted(every, reverse=True)[:n]
+    return best[-1]
+
+
+@pytest.mark.parametrize("n", [1, 2, 8, 40])
+def test_nbest_of_sentences(lattice, n):
+    texts = ["The quick brown fox jumps over the lazy dog, again and again.", "Çà et là — naïve façade 日本語 x", "aaaa " * 12, "b" * 200, "Un mot" + "o" * 90 + " und noch eines"]
+    for text, got in zip(texts, lattice.encode_all(texts, n), strict=True):
+        assert [x[0] for x in got] == k_best(lattice, lattice.normalised(text), n)
+        assert len({x[1].tobytes() for x in got}) == len(got)
+        assert all(lattice.decode(x[1]) == text for x in got)
+
+
+def test_word_book():
+    """Ids of words are those learned, whatever the book forgets, and long words too."""
+    rng = random.Random(8)
+    learned = []
+
+    def learn(own):
+        learned.extend(own)
+        return np.array([ord(c) for w in own for c in w], np.int32), np.array([*map(len, own)], np.int64), np.array([[float(len(w)) for w in own]])
+
+    book = words.WordBook(learn, 1, most=20_000)
+    for _ in range(40):
+        own = ["".join(rng.choice("abcé日") for _ in range(rng.choice([1, 2, 3, 9, 70, 200]))) for _ in range(rng.randint(0, 300))]
+        raw = " ".join(own).encode()
+        ends = np.flatnonzero(np.frombuffer(raw + b" ", np.uint8) == 32)
+        starts = np.r_[0, ends[:-1] + 1] if own else np.zeros(0, np.int64)
+        ids, counts, figures = book.read(np.frombuffer(raw, np.uint8), starts, (ends - starts) if own else starts)
+        assert "".join(map(chr, ids)) == "".join(own)
+        assert counts.tolist() == [len(w) for w in own] == figures[0].tolist()
+    assert len(learned) > len(set(learned))
+    assert book.held < 400_000
+
+
+def test_spans_are_python_s_words():
+    rng = random.Random(11)
+    marks = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x85", "\xa0", "\u1680", "\u2000", "\u200a", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\u2010", "a", "é", "日", "\xc2", "\u00e2", "🙂", "ა", "᠎"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 12))) for _ in range(3000)]
+    raw, at = words.buffer_of(pa.array(texts, pa.string()))
+    starts, sizes, odd = tokens.spans_of(raw, at)
+    assert [raw[a : a + n].tobytes().decode() for a, n in zip(starts, sizes, strict=True)] == [w for t in texts for w in t.split()]
+    assert tokens.spans_of(*words.buffer_of(pa.array(["a", "b\x1dc", None, "\x1c"])))[2].tolist() == [1, 3]
+    assert not len(odd)
+
+
+def test_best_sums():
+    rng = random.Random(3)
+    lists = [sorted((-float(rng.randint(0, 5)) for _ in range(4)), reverse=True) for _ in range(5)]
+    every = sorted(((sum(x[k] for x, k in zip(lists, c, strict=True)), c) for c in itertools.product(range(4), repeat=5)), key=lambda t: (-t[0], t[1]))
+    assert sentence_pieces.best_sums(lists, 50) == every[:50]
+
+
+def test_words_learned_at_once(lattice):
+    """Viterbi over many words gives what it gives for one."""
+    rng = random.Random(4)
+    words = {"".join(rng.choice("▁abcdeéèçñtionß%#ê日") for _ in range(rng.randint(1, 45))) for _ in range(800)}
+    words = sorted(words)
+    ids, counts, figures = lattice.learn(words)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    for i, w in enumerate(words):
+        best, second, back = lattice.forward(w)
+        assert tuple(figures[:, i]) == (best[-1], best[-1] - second[-1])
+        places, j = [], len(w)
+        while j > 0:
+            places.append(j)
+            j = back[j]
+        assert parts[i].tobytes() == lattice.coded(w, places[::-1])
+
+
+def test_words_begin_at_spaces():
+    for texts in (["▁a▁▁b", "", "x▁", "▁", "▁▁"], [""], [], ["é▁日▁▁▁本x"]):
+        raw, at = words.buffer_of(pa.array(texts, pa.string()))
+        begins = sentence_pieces.words_of(raw, at).tolist()
+        want = [len("".join(texts[:i]).encode()) + len(t[: m.start()].encode()) for i, t in enumerate(texts) for m in re.finditer("▁*[^▁]+|▁+", t)]
+        assert begins == want
+
+
 def test_nbest_rows(spark):
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = frame(spark, [t if t is None or len(t) < 1000 else t[:5000] for t in AWKWARD])
+    docs = frame(spark, AWKWARD)
     rows = sentence_pieces.nbest_digests(docs, path, 3).collect()
     assert {r.doc_id for r in rows} == set(range(len(AWKWARD)))
     assert all(r.decoded for r in rows if r["rank"] == 1 and "\x00" not in (AWKWARD[r.doc_id] or ""))
@@ -371,6 +622,17 @@ def test_mix_awkward(spark):
     assert sorted(r.text for r in kept.collect()) == ["a b", "a b", "c"]
 
 
+def test_mixed_documents_leave_clashing_columns(spark):
+    texts = ["one two three"] * 40 + ["four five"] * 40 + [None, "", "long " * 30_000]
+    docs = frame(spark, texts, sources=["a"] * 40 + ["b"] * 40 + [None, "a", "b"])
+    clash = {n: F.lit(n) for n in ("copies", "mix_words", "mix_nth", "mix_id", "mix_size", "mix_copies", "taken", "ratio")}
+    got = mixing.mixed_documents(docs.withColumns(clash))
+    plain = mixing.mixed_documents(docs)
+    assert got.columns == [*docs.columns, *clash]
+    assert all(r[n] == n for r in got.collect() for n in clash)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in plain.collect())
+
+
 # --- 7 ----------------------------------------------------------------------------------------
 
 
@@ -405,6 +667,29 @@ def test_search_awkward(spark):
     assert ann.search(v.filter("vec_id = 0")).count() == 0
 
 
+def test_search_with_many_equal_vectors(spark):
+    """Two thirds of the rows are one vector: more ties than a shortlist holds."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    same = rng.random(3000) < 0.66
+    x[same] = x[7]
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(7)
+    got = {}
+    for r in ann.search(v).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    y = x.astype(np.float64)
+    y /= np.sqrt((y * y).sum(1, keepdims=True))
+    assert len(got) == 60
+    for q in got:
+        s = (y * y[q]).sum(1)
+        s[q] = -9
+        best = np.lexsort((np.arange(len(s)), -s))[:5].tolist()
+        if same[q]:
+            assert got[q] == best
+        else:
+            assert len(set(got[q]) & set(best)) >= 4
+
+
 def test_encoding_beats_a_single_book():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 48))
@@ -425,22 +710,60 @@ def test_perspectives_match_sql(spark, duck):
     same_rows(chat.perspectives(common.table(spark, SF, "conversations")).toPandas(), duck(SF).sql(chat.ORACLE).df())
 
 
+def plain_perspectives(rows):
+    """(conv_id, participant) -> (text, mask), turn by turn."""
+    out = {}
+    convs = {}
+    for conv, turn, role, text in rows:
+        convs.setdefault(conv if conv is not None else ("lone", turn, role, text), []).append((turn is None, turn or 0, role or "unknown", text or ""))
+    for conv, turns in convs.items():
+        for who in {t[2] for t in turns} - {"system"}:
+            text, mask = "", []
+            for _, _, role, body in sorted(turns):
+                name, body = role.replace("<|", "< |"), body.replace("<|", "< |")
+                text += "<|system|>\n" if role == "system" else "<|assistant|>\n" if role == who else f"<|user name={name}|>\n"
+                if role == who:
+                    mask.append(f"{len(text)}-{len(text) + len(body) + len('<|end|>')}")
+                text += body + "<|end|>\n"
+            out[conv if not isinstance(conv, tuple) else (None, *conv[1:]), who] = text, ",".join(mask)
+    return out
+
+
+def joined_perspectives(frame_):
+    """The same from the operator's rows, pieces put in a row."""
+    out = {}
+    for r in sorted(frame_.collect(), key=lambda r: r.piece):
+        text, mask, n = out.get((r.conv_id, r.participant), ("", [], 0))
+        assert (r.start, r.piece, r.n_chars) == (len(text), n, len(r.text))
+        out[r.conv_id, r.participant] = text + r.text, mask + ([r["mask"]] if r["mask"] else []), n + 1
+    return {k: (text, ",".join(mask)) for k, (text, mask, _) in out.items()}, max((v[2] for v in out.values()), default=0)
+
+
 def test_perspectives_rotate(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, None, None, "late"), (1, 3, "ann", "bye"), (None, 1, "x", "a"), (None, 1, "y", "b"), (2, 0, "system", "alone")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("mask", F.lit(1)).withColumn("piece", F.lit(1))
-    got = [r for r in chat.perspectives(turns, 2).collect()]
-    assert {(r.conv_id, r.participant) for r in got} == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "x"), (None, "y")}
-    first = next(r for r in got if r.participant == "ann" and r.piece == 0)
-    assert first.text == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi < |end|><|end|>\n"
-    spans = [first.text[int(a) : int(b)] for a, b in (s.split("-") for s in first["mask"].split(","))]
-    assert spans == ["hi < |end|><|end|>"]
-    assert sum(r.n_turns for r in got if r.participant == "ann") == 6
-    other = next(r for r in got if r.participant == "bob" and r.piece == 0)
-    assert "<|user name=ann|>\n" in other.text
-    assert other["mask"] == ""
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, None, None, "late"), (1, 3, "ann", "bye"), (2, 0, "system", "alone")]
+    turns = spark.createDataFrame([*rows, (None, 1, "x", "a"), (None, 1, "y", "b")], "conv_id long, turn long, role string, text string").withColumn("mask", F.lit(1)).withColumn("piece", F.lit(1)).withColumn("part", F.lit(1))
+    assert {(r.conv_id, r.participant) for r in chat.perspectives(turns).collect()} == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "x"), (None, "y")}
+    for piece, most in ((chat.PIECE, 1), (2, 9)):
+        got, pieces = joined_perspectives(chat.perspectives(turns.filter("conv_id is not null"), piece))
+        assert got == plain_perspectives(rows)
+        assert pieces <= most
     assert chat.perspectives(turns.limit(0)).count() == 0
 
 
+def test_perspectives_of_long_conversations(spark):
+    rng = random.Random(2)
+    rows = [(1, i, rng.choice(["ann", "bob", "system"]), f"turn {i}") for i in range(1100)]
+    rows += [(2, 7, "ann", "the same turn")] * 1500 + [(2, 7, "bob", f"t{i}") for i in range(300)]
+    rows += [(3, 1000 * i, "ann" if i % 2 else "bob", "x" * i) for i in range(9)] + [(4, 0, "ann", "long " * 60_000), (4, 1, "bob", "so")]
+    rows += [(5, None, f"p{i % 3}", f"n{i}") for i in range(40)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got, pieces = joined_perspectives(chat.perspectives(turns, wide=100_000))
+    assert got == plain_perspectives(rows)
+    assert pieces >= 4
+    single = chat.perspectives(turns.filter("conv_id in (3, 5)"))
+    assert single.filter("piece > 0").count() == 0
+
+
 def test_perspectives_are_native(spark):
     plan = chat.perspectives(common.table(spark, SF, "conversations"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -628,6 +951,53 @@ def test_patterns_discover_unseen(spark):
     assert {r.text for r in clean.filter("doc_id in (0, 24)").collect()} == {"please call us at [PHONE] today or write"}
 
 
+def test_secrets_are_found_by_their_patterns(spark):
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    own = [f'word{i} token = "{key()}" word{i + 1} and more' for i in range(10)]
+    odd = 'here token = "zz-77-81-pass-long" there'
+    alone = f"commit {key()} fixes it"
+    rows = {r.doc_id: r for r in pii.personal_data(frame(spark, [*own, odd, alone])).collect()}
+    assert all(rows[i].spans == f"secret:{own[i].index(chr(34)) + 1}:{own[i].index(chr(34)) + 41}" and rows[i].n_found == rows[i].n_spans == 1 for i in range(10))
+    assert rows[10].spans.startswith("secret:14:")
+    assert (rows[11].spans, rows[11].n_found) == ("", 0)
+
+
+def test_yield_on_a_planted_corpus(spark):
+    """Unseen identifiers in the contexts of seeds are found, with precision and recall of 0.9."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdeghilmnoprstu", k=rng.randint(3, 8)))
+    leads = [("phone", "reach me on", lambda: f"+44 20 {rng.randint(1000, 9999)} {rng.randint(1000, 9999)}", lambda: f"020-{rng.randint(1000, 9999)}-{rng.randint(100, 999)}"),
+             ("ip", "connected from host", lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: f"fe80::{rng.randint(100, 999)}:{rng.randint(1000, 9999)}"),
+             ("email", "write to address", lambda: f"{word()}@{word()}.org", lambda: f"{word()}@{word()}")]
+    texts, want = [], {}
+    for i in range(400):
+        kind, lead, seed, unseen = leads[i % 3]
+        hidden, body = i % 5 == 0, f"{word()} {word()} {lead} "
+        value = unseen() if hidden else seed()
+        texts.append(f"{body}{value} {word()} {word()} room {rng.randint(1000, 99999)} {word()}")
+        if hidden:
+            want[i] = f"{kind}:{len(body)}:{len(body) + len(value)}"
+    found = {(r.doc_id, s) for r in pii.personal_data(frame(spark, texts)).collect() for s in r.spans.split(",") if s}
+    extra = {(i, s) for i, s in found if not any(s == "{}:{}:{}".format(*b) for b in plain_spans(texts[i]))}
+    assert len(extra & set(want.items())) >= 0.9 * max(len(extra), len(want))
+
+
+def test_contexts_take_whole_words():
+    long = "a" * 500
+    assert pii.context(f"{long} call +1", 506, 508)[0] == f"{pii.named(long)} call _"
+    assert pii.context(f"x {long}1 call +1", 508, 510)[0] == f"{pii.named(long + '1')} call _"
+    assert pii.context(f"call now 12345 {long}", 9, 14) == ["call now _", f"now _ {pii.named(long)}"]
+    assert pii.candidates("id " + "9" * 70 + " x a@ 123", []) == [(3, 73), (76, 78), (79, 82)]
+
+
+def test_redaction_leaves_clashing_columns(spark):
+    docs = frame(spark, ["mail a@b.co now", None]).withColumns({n: F.lit(n) for n in ("h2", "extra", "extra_", "__h1", "found")})
+    got = pii.redact(docs)
+    assert got.columns == docs.columns
+    assert [(r.text, r.h1, r.extra, r.found) for r in got.orderBy("doc_id").collect()] == [("mail [EMAIL] now", "x", "extra", "found"), (None, "x", "extra", "found")]
+
+
 def test_personal_data_empty(spark):
     assert pii.personal_data(frame(spark, [])).count() == 0
     assert pii.redact(frame(spark, [None])).first().text is None

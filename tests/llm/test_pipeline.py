@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
 from test_operators import plain_components, plain_spans
 
 import corpus_pipeline as P
@@ -52,6 +53,43 @@ def test_near_copies_of_repeated_ids(spark):
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
+CLASH = ["toxic_score", "score", "copies", "mix_words", "mix_nth", "h1", "h2", "extra", "found", "vertex", "rank", "ids", "__row"]
+
+
+def test_awkward_rows_and_clashing_columns(spark):
+    """Null, empty, long and repeated rows with columns of names that the stages use themselves."""
+    plain = " ".join(f"word{i} und" for i in range(30))
+    texts = [None, "", "  ", plain, plain, "x y " * 40_000, "a" * 200_000, f"mail to a@b.co {plain[:90]}", "one", "one"]
+    rows = [(i if i else None, t, "en", "s" if i % 3 else None, 7) for i, t in enumerate(texts)]
+    rows += [rows[8], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in CLASH:
+        docs = docs.withColumn(name, F.lit(name))
+    frames = {}
+    for name, stage in P.STAGES[:-1]:
+        out = common.written(stage(spark, docs, SF), f"test-awkward-{name}")
+        assert out.columns == docs.columns
+        frames[name] = out.collect()
+        assert all(r[c] == c for r in frames[name] for c in CLASH)
+    assert Counter(r.text for r in frames["toxicity"]) == Counter(r[1] for r in rows)
+    assert sorted((r.doc_id or -1) for r in frames["near_dedup"]) == [-1, 1, 2, 3, 5, 6, 7, 8]
+    assert Counter(r.doc_id for r in frames["pii"]) == Counter(r[0] for r in rows)
+    assert [r.text[:16] for r in frames["pii"] if r.doc_id == 7] == ["mail to [EMAIL] "]
+    assert all(r.text.split() for r in frames["mixing"])
+    encoded = P.STAGES[-1][1](spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in encoded) == Counter(r[0] for r in rows)
+    assert all(r.n_tokens == 0 for r in encoded if r.doc_id in (None, 1))
+
+
+def test_run_leaves_its_result_alone(spark):
+    import os
+
+    shared = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    assert P.run(spark, SF).count() > 0
+    assert [x.split("-")[1] for x in set(os.listdir(shared)) - before] == ["sentencepiece"]
+
+
 def test_empty_documents(spark):
     rows = common.table(spark, SF, "documents").limit(0)
     for name, stage in P.STAGES:
