@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from typing import TypeVar
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 T = TypeVar("T")
+_LASTING: dict[Hashable, object] = {}
 _SCRATCH: ContextVar[list[Callable[[], None]] | None] = ContextVar("scratch", default=None)
 
 
@@ -90,6 +92,23 @@ def fresh(names: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def lasting(key: Hashable, build: Callable[[], T]) -> T:
+    """What `build` makes, held by this Python worker for the tasks to come. One thing is held at a
+    time, so an operator's memos take the place of those that another one left behind."""
+    if key not in _LASTING:
+        _LASTING.clear()
+        _LASTING[key] = build()
+    return _LASTING[key]
+
+
+def returned() -> None:
+    """Gives memory that is free back to the machine; workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -113,3 +132,4 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch.slice(start)
         del batch
         pa.default_memory_pool().release_unused()
+    returned()

@@ -24,7 +24,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -381,10 +380,9 @@ def best_sums(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int,
     return sums
 
 
-@lru_cache(maxsize=1)
 def lattice_of(path: str) -> Lattice:
     """The lattice of this Python worker: tasks share it; its memos are bounded."""
-    return Lattice(path)
+    return common.lasting(("pieces", path), lambda: Lattice(path))
 
 
 SCHEMA = "doc_id long, rank int, score double, n_tokens long, ids_crc32 long, decoded boolean"

@@ -18,7 +18,6 @@ import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir
+from .common import lasting, pieces, shared_dir
 from .words import WordBook, buffer_of
 
 END = 1
@@ -267,13 +266,12 @@ def spans_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, np.flatnonzero(word & ~after) + 1 - starts, odd
 
 
-@lru_cache(maxsize=1)
 def encoder_of(path: str) -> WordEncoder:
     """The encoder of this Python worker: tasks share its memo, which is bounded."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    return lasting(("tokens", path), lambda: WordEncoder(path))
 
 
 def encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -29,6 +29,7 @@ read; a column with the name of the score gives way to it.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast, pieces
+from .common import broadcast, lasting, pieces
 
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1500, 2500, 20_000
 LANDMARKS, BACKGROUND, UNLIKE = 40, 8, 0.6
@@ -427,12 +428,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with the score in a column `name`, which takes the place of one that has it already."""
-    sent = broadcast(docs.sparkSession, model)
+    sent, key = broadcast(docs.sparkSession, model), uuid.uuid4().hex
     keep = [n for n in docs.columns if n != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = lasting(("toxicity", key), lambda: sent.value)
         for batch in pieces(batches, "text", 2 << 20):
-            scores = sent.value.scores([t or "" for t in batch.column("text").to_pylist()])
+            scores = held.scores([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(scores, pa.float64())], names=[*keep, name])
 
     schema = T.StructType([*(docs.schema[n] for n in keep), T.StructField(name, T.DoubleType())])
