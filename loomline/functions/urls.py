@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+_DOTS = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
 #: Extensions of linked documents.
 DOCUMENTS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "csv", "json", "xml", "txt", "md", "rtf")
 #: Schemes a proxy may have.
@@ -38,8 +39,20 @@ def host(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
+    """The path, `/` if empty, without `.` and `..` segments."""
     raw = _part(url, 3)
-    return F.when(raw == "", "/").otherwise(raw)
+    return F.when(raw == "", "/").when(raw.rlike(_DOTS), _without_dots(raw)).otherwise(raw)
+
+
+def _without_dots(raw: Column) -> Column:
+    parts = F.split(raw, "/")
+    up, here = (lambda s, n=n: s.rlike(rf"(?i)^(?:\.|%2e){{{n}}}$") for n in (2, 1))
+    kept = F.aggregate(
+        F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"),
+        lambda done, s: F.when(up(s), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(here(s), done).otherwise(F.concat(done, F.array(s))),
+    )
+    end = F.when(raw.rlike(r"(?i)/(?:\.|%2e){1,2}$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), end)
 
 
 def query(url: Column) -> Column:

@@ -50,8 +50,13 @@ def sitemap_entries(files: DataFrame) -> DataFrame:
 
 
 def sitemap_pages(seeds: DataFrame, responses: DataFrame, depth: int = SITEMAP_DEPTH, most: int = SITEMAP_ENTRIES) -> DataFrame:
-    """Pages reached from sitemap URLs (seeds: url) through nested sitemaps of the seeds' origins;
-    a bounded loop of joins with responses (url, body)."""
+    """Pages reached from sitemap URLs (seeds: url) through nested sitemaps of the seeds' origins."""
+    return sitemap_found(seeds, responses, depth, most).select("loc", "lastmod", "priority")
+
+
+def sitemap_found(seeds: DataFrame, responses: DataFrame, depth: int = SITEMAP_DEPTH, most: int = SITEMAP_ENTRIES) -> DataFrame:
+    """As sitemap_pages, with the order of the pages as (level, from, at); a bounded loop of joins
+    with responses (url, body)."""
     origins = seeds.select(U.origin(F.col("url")).alias("origin")).distinct()
     frontier, seen, found = seeds.select("url"), seeds.select("url"), None
     for level in range(depth + 1):
@@ -61,7 +66,7 @@ def sitemap_pages(seeds: DataFrame, responses: DataFrame, depth: int = SITEMAP_D
         nested = entries.filter("kind = 'sitemap'").select(F.col("loc").alias("url")).distinct()
         nested = nested.join(origins, U.origin(F.col("url")) == F.col("origin"), "left_semi").join(seen, "url", "left_anti")
         frontier, seen = nested, seen.unionByName(nested)
-    return found.orderBy("level", "from", "at").limit(most).select("loc", "lastmod", "priority")
+    return found.orderBy("level", "from", "at").limit(most)
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -96,19 +101,25 @@ def admitted(candidates: DataFrame, start_origin: str | None, include: list[str]
     return candidates.filter(keep)
 
 
-def crawl(start: str, edges: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, same_origin: bool = True, include: list[str] | None = None, exclude: list[str] | None = None, rules: DataFrame | None = None) -> DataFrame:
+def crawl(start: str, edges: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, same_origin: bool = True, include: list[str] | None = None, exclude: list[str] | None = None, rules: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """url, depth, seq and blocked of the pages a breadth-first crawl dequeues, in order.
 
     edges: src, link, pos with normalised URLs. One round a depth, at most max_depth of them: links
     of the level, filters, first occurrence by (parent, position), anti-join with the visited,
     and the budget. The queue's cap, QUEUE_FACTOR times the budget, is never smaller than what the
     budget leaves, so it decides only what is dropped beyond it. Blocked pages take budget and
-    yield no links. Levels are checkpointed where a checkpoint folder is set.
+    yield no links. Levels are checkpointed where a checkpoint folder is set. seeds (url, and what
+    they are ordered by) stand beside the start.
     """
     spark = edges.sparkSession
     begin = spark.range(1).select(U.normalize(F.lit(start)).alias("url"))
     origin = begin.select(U.origin(F.col("url"))).first()[0] if same_origin else None
     level = admitted(begin, origin, include, exclude).select("url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("seq"))
+    if seeds is not None:
+        order = F.struct(*(n for n in seeds.columns if n != "url"))
+        more = admitted(seeds.select(U.normalize(F.col("url")).alias("url"), order.alias("o")), origin, include, exclude).groupBy("url").agg(F.min("o").alias("o")).join(level.select("url"), "url", "left_anti")
+        more = more.orderBy("o", "url").limit(max_pages - 1).withColumn("seq", F.row_number().over(Window.orderBy("o", "url")).cast("long"))
+        level = level.unionByName(more.select("url", F.lit(0).alias("depth"), "seq"))
     has_folder = bool(spark.sparkContext._jsc.sc().getCheckpointDir().isDefined())
     out, used = None, 0
     for depth in range(max_depth + 1):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LATEST = " (latest)"
 
@@ -183,6 +184,16 @@ def content_change(previous: DataFrame, latest: DataFrame, key: str) -> DataFram
     return rows.withColumn("kind", kind).withColumn("pct", F.round("pct", 4))
 
 
+def most_changed(changes: DataFrame, degraded: int = 15, improved: int = 10) -> DataFrame:
+    """The changes that a report names: the most degraded and the most improved, with their rank."""
+    key = next(n for n in changes.columns if n not in ("prev_len", "curr_len", "extract_strategy", "delta", "pct", "kind"))
+    parts = []
+    for kind, n in (("degraded", degraded), ("improved", improved)):
+        top = changes.filter(F.col("kind") == kind).orderBy(F.abs("pct").desc(), key).limit(n)
+        parts.append(top.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("pct").desc(), key))))
+    return parts[0].unionByName(parts[1])
+
+
 def low_content(previous: DataFrame, latest: DataFrame, key: str, below: int = 1200) -> DataFrame:
     rows = latest.filter((F.col("status") == "pass") & (F.col("content_length") > 0) & (F.col("content_length") < below))
     rows = rows.join(previous.select(key, F.col("content_length").alias("prev_len")), key, "left")

@@ -207,6 +207,11 @@ def two_run_content_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.content_change(*last_two(spark, sf_dir), "test_name")
 
 
+@add("two_run_most_changed", f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY abs(pct) DESC, test_name) AS INTEGER) AS rank FROM ({SQL['two_run_content_change']}) WHERE kind IN ('degraded', 'improved')) WHERE rank <= CASE kind WHEN 'degraded' THEN 15 ELSE 10 END")
+def two_run_most_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.most_changed(R.content_change(*last_two(spark, sf_dir), "test_name"))
+
+
 @add("low_content_warning", "SELECT test_name, c.content_length AS curr_len, p.content_length AS prev_len, CAST(floor(c.content_length / 6 + 0.5) AS BIGINT) AS est_words FROM curr c LEFT JOIN prev p USING (test_name) WHERE c.status = 'pass' AND c.content_length > 0 AND c.content_length < 1200")
 def low_content_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.low_content(*last_two(spark, sf_dir), "test_name")

@@ -46,6 +46,17 @@ def extract_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.candidates(pages(spark, sf_dir)).select("page_id", "method", "title", F.length("text").alias("chars"))
 
 
+@add("selected_html", "SELECT page_id, '<html><body>' || array_to_string(regexp_extract_all(html, '(?s)<title>.*?</title>|<h1>.*?</h1>'), chr(10)) || '</body></html>' AS html FROM pages")
+def selected_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.selected(pages(spark, sf_dir), ["title", "h1"], [".ad", "nav"]).select("page_id", "html")
+
+
+@add("articles_selected", f"SELECT page_id, {_ARTICLE} AS text FROM pages WHERE length({_ARTICLE}) >= 500")
+def articles_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = X.candidates(X.selected(pages(spark, sf_dir), "article", ["footer", "form"]))
+    return found.filter("method = 'selector:article' and length(text) >= 500").select("page_id", "text")
+
+
 @add("articles")
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.articles(pages(spark, sf_dir))

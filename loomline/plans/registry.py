@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, extraction, payloads, web
+from . import analytics, extraction, payloads, sites, web
 
-QUERIES = {**analytics.QUERIES, **web.QUERIES, **extraction.QUERIES, **payloads.QUERIES}
-SQL = {**analytics.SQL, **web.SQL, **extraction.SQL, **payloads.SQL}
+QUERIES = {**analytics.QUERIES, **web.QUERIES, **extraction.QUERIES, **payloads.QUERIES, **sites.QUERIES}
+SQL = {**analytics.SQL, **web.SQL, **extraction.SQL, **payloads.SQL, **sites.SQL}

@@ -179,8 +179,8 @@ def normalize_url_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).groupBy(U.normalize(c("url")).alias("norm")).agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
 
 
-cases("normalize_cases", "url", "('HTTPS://Example.COM:443/A/'), ('http://x.com'), ('http://x.com:80/?q=1#f'), ('https://x.com/a//'), ('not a url'), ('https://x.com/a/?b=/')",
-      """CASE url WHEN 'HTTPS://Example.COM:443/A/' THEN 'https://example.com/A' WHEN 'http://x.com' THEN 'http://x.com/' WHEN 'http://x.com:80/?q=1#f' THEN 'http://x.com/?q=1' WHEN 'https://x.com/a//' THEN 'https://x.com/a/' WHEN 'not a url' THEN 'not a url' ELSE 'https://x.com/a?b=/' END AS norm""",
+cases("normalize_cases", "url", "('HTTPS://Example.COM:443/A/'), ('http://x.com'), ('http://x.com:80/?q=1#f'), ('https://x.com/a//'), ('not a url'), ('https://x.com/a/?b=/'), ('http://x.com/a/../b/./c'), ('http://x.com/a/b/..'), ('http://x.com/../%2e'), ('http://x.com/.a/b..')",
+      """CASE url WHEN 'HTTPS://Example.COM:443/A/' THEN 'https://example.com/A' WHEN 'http://x.com' THEN 'http://x.com/' WHEN 'http://x.com:80/?q=1#f' THEN 'http://x.com/?q=1' WHEN 'https://x.com/a//' THEN 'https://x.com/a/' WHEN 'not a url' THEN 'not a url' WHEN 'http://x.com/a/../b/./c' THEN 'http://x.com/b/c' WHEN 'http://x.com/a/b/..' THEN 'http://x.com/a' WHEN 'http://x.com/../%2e' THEN 'http://x.com/' WHEN 'http://x.com/.a/b..' THEN url ELSE 'https://x.com/a?b=/' END AS norm""",
       norm=lambda: U.normalize(c("url")))
 
 
@@ -275,7 +275,7 @@ def link_edges_by_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.rooted_links(pages(spark, sf_dir)).groupBy(U.origin(c("link")).alias("origin")).agg(F.count("*").alias("links"), F.countDistinct("link").alias("targets"))
 
 
-@add("link_resolve_general")
+@add("link_resolve_general", f"WITH {_LINKS} SELECT * FROM k")
 def link_resolve_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.links(pages(spark, sf_dir))
 
@@ -303,7 +303,10 @@ _MAPS = """(VALUES ('http://a.com/s.xml', '<sitemapindex><sitemap><loc>http://a.
  ('http://other.com/u.xml', '<urlset><url><loc>http://other.com/1</loc></url></urlset>')) AS m(url, body)"""
 
 
-@add("sitemap_pages", "SELECT * FROM (VALUES ('http://a.com/1', '2024-01-01', 0.5::DOUBLE), ('http://a.com/2?a=1&b=2', NULL, NULL)) t(loc, lastmod, priority)")
+@add("sitemap_pages", f"""WITH RECURSIVE e AS (SELECT url, unnest(regexp_extract_all(body, '<(?:url|sitemap)>.*?</(?:url|sitemap)>')) AS b FROM {_MAPS}),
+ x AS (SELECT url, b LIKE '<sitemap>%' AS nested, replace(trim(regexp_extract(b, '<loc>(.*?)</loc>', 1)), '&amp;', '&') AS loc, nullif(regexp_extract(b, '<lastmod>(.*?)</lastmod>', 1), '') AS lastmod, TRY_CAST(nullif(regexp_extract(b, '<priority>(.*?)</priority>', 1), '') AS DOUBLE) AS priority FROM e),
+ r(url, depth) AS (SELECT 'http://a.com/s.xml', 0 UNION SELECT loc, depth + 1 FROM r JOIN x USING (url) WHERE nested AND depth < 2 AND {_ORIGIN('loc')} = 'http://a.com')
+ SELECT loc, lastmod, priority FROM r JOIN x USING (url) WHERE NOT nested AND regexp_matches(loc, '^https?://')""")
 def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.sitemap_pages(spark.sql("SELECT 'http://a.com/s.xml' AS url"), spark.sql(f"SELECT * FROM {_MAPS}"))
 
@@ -327,7 +330,8 @@ def frontier_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.crawl("http://s.com/p/0", _site_graph(spark, sf_dir), max_depth=2).select("url", "depth")
 
 
-@add("crawl_summary", """SELECT 10::BIGINT AS pages_total, 10::BIGINT AS pages_success, 0::BIGINT AS pages_failed, 0::BIGINT AS pages_blocked""")
+@add("crawl_summary", """WITH RECURSIVE e AS (SELECT n_nationkey AS k, (n_nationkey * m + a) % 25 AS t FROM nation, (VALUES (2, 1), (3, 7), (1, 5)) t(m, a)),
+ w(k, depth) AS (SELECT 0, 0 UNION SELECT t, depth + 1 FROM w JOIN e USING (k) WHERE depth < 3), p AS (SELECT least(count(DISTINCT k), 10) AS n FROM w) SELECT n AS pages_total, n AS pages_success, 0::BIGINT AS pages_failed, 0::BIGINT AS pages_blocked FROM p""")
 def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.runs import crawl_summary as summary
 
@@ -350,10 +354,12 @@ def cookie_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.matching(asked, spark.sql(f"SELECT * FROM {_COOKIES}"), 100)
 
 
-@add("cookie_file", "SELECT * FROM (VALUES (1, '.x.com', true, '/', false, 0::BIGINT, 'n', 'v')) t(pos, domain, subdomains, path, secure, expires, name, value)")
+_JAR = "(VALUES " + ", ".join(f"({i}, replace('{v}', '~', chr(9)))" for i, v in enumerate(("# c", ".x.com~TRUE~/~FALSE~0~n~v", "", "bad~line", "#HttpOnly_.x.com~TRUE~/~FALSE~0~n~v", ".x.com~TRUE~/~FALSE~soon~n~v", "y.com~FALSE~/a~TRUE~99~m~w"))) + ") AS t(pos, value)"
+
+
+@add("cookie_file", f"SELECT pos, f[1] AS domain, f[2] = 'TRUE' AS subdomains, f[3] AS path, f[4] = 'TRUE' AS secure, TRY_CAST(f[5] AS BIGINT) AS expires, f[6] AS name, f[7] AS value FROM (SELECT pos, string_split(value, chr(9)) AS f FROM {_JAR} WHERE value NOT LIKE '#%') WHERE len(f) = 7 AND TRY_CAST(f[5] AS BIGINT) IS NOT NULL")
 def cookie_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.sql(r"SELECT * FROM (VALUES (0, '# c'), (1, '.x.com\tTRUE\t/\tFALSE\t0\tn\tv'), (2, ''), (3, 'bad\tline'), (4, '#HttpOnly_.x.com\tTRUE\t/\tFALSE\t0\tn\tv'), (5, '.x.com\tTRUE\t/\tFALSE\tsoon\tn\tv')) AS t(pos, value)")
-    return C.netscape(lines)
+    return C.netscape(spark.sql(f"SELECT * FROM {_JAR}"))
 
 
 # --- selection --------------------------------------------------------------------------------
