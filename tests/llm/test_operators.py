@@ -879,6 +879,26 @@ def test_near_duplicates_at_full_depth(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_duplicates_of_a_passage_in_common(spark, monkeypatch):
+    """Large nodes of documents that are alike but not linked do not multiply their rows."""
+    for name, value in (("LEAF", 32), ("BLOCK", 16)):
+        monkeypatch.setattr(dedup, name, value)
+    compare, made = dedup.Join.compare, []
+
+    def counted(self, members, *rest):
+        made.append(members.count())
+        return compare(self, members, *rest)
+
+    monkeypatch.setattr(dedup.Join, "compare", counted)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} " + " ".join(f"d{i}x{j}" for j in range(20 + 77 * i % 300)) for i in range(600)]
+    texts += [f"{t} more" for t in texts[::10]]
+    want, _ = plain_components(texts, 1)
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(frame(spark, texts), 1).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(made) < 4 * made[0], made
+
+
 def test_near_duplicates_awkward(spark):
     assert dedup.near_duplicates(frame(spark, []), 5).count() == 0
     rows = dedup.near_duplicates(frame(spark, ["a b c", "a b c", "x y z", "a b c", None], [3, None, 3, 9, None]), 2).collect()
