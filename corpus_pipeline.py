@@ -70,15 +70,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the best segmentation: doc_id, score, n_tokens, ids, decoded.
+    """Piece ids of the four best segmentations: doc_id, score, n_tokens, ids and decoded of the
+    best, and in `further` scores and ids of the next ones that there are, best first.
 
-    Only the best is needed, so this is the forward Viterbi pass without the backward search. A null
-    or empty text has no ids and score 0; among equal scores the longer last piece counts; repeated
+    The forward Viterbi pass gives the best, the backward search the others. A null or empty text
+    has no ids, score 0 and none further; among equal scores the longer last piece counts; repeated
     rows are encoded each; other columns are not read.
     """
     import public_tokenizers
 
-    return sentence_pieces.nbest(docs, public_tokenizers.path("piece_bpe_32k.model"), 1).drop("rank")
+    return sentence_pieces.nbest_lists(docs, public_tokenizers.path("piece_bpe_32k.model"), 4)
 
 
 STAGES = [

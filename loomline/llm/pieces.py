@@ -410,6 +410,37 @@ def encoding(path: str, n: int, ids: bool) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
+LISTED = "doc_id long, score double, n_tokens long, ids array<int>, decoded boolean, further array<struct<score: double, ids: array<int>>>"
+
+
+def lists(own: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, own)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *own])))
+
+
+def listing(path: str, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = lattice_of(path)
+        for batch in common.pieces(batches, "text", 1 << 20):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ranked = list(lattice.encode_all(texts, n))
+            ids = lists([own[0][1] for own in ranked])
+            rest = [x for own in ranked for x in own[1:]]
+            rest_ = pa.StructArray.from_arrays([pa.array([x[0] for x in rest], pa.float64()), lists([x[1] for x in rest])], names=["score", "ids"])
+            further = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(own) - 1 for own in ranked)]), pa.int32()), rest_)
+            decoded = [lattice.decode(own[0][1]) == text for own, text in zip(ranked, texts, strict=True)]
+            score, count = pa.array([own[0][0] for own in ranked], pa.float64()), pa.array([len(own[0][1]) for own in ranked], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), score, count, ids, pa.array(decoded, pa.bool_()), further], names=["doc_id", "score", "n_tokens", "ids", "decoded", "further"])
+
+    return run
+
+
+def nbest_lists(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
+    """One row for every row of docs: its best segmentation, whether that decodes to the text, and
+    in `further` the second to n-th best with their scores, best first."""
+    return docs.select("doc_id", "text").mapInArrow(listing(model, n), LISTED)
+
+
 def nbest_digests(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
     """doc_id, rank, score, n_tokens and ids_crc32 of the n best segmentations of every row of
     docs, and for the best whether it decodes to the text."""

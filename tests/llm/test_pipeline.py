@@ -81,6 +81,26 @@ def test_awkward_rows_and_clashing_columns(spark):
     assert all(r.n_tokens == 0 for r in encoded if r.doc_id in (None, 1))
 
 
+def test_encoding_searches_further_segmentations(spark):
+    import public_tokenizers
+
+    from loomline.llm import pieces
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["the cat sat on banana bread", "naïve, 日本 語 x", "a", "", None, "word und " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in P.encode(spark, docs, SF).collect()}
+    assert len(got) == len(texts)
+    lattice = pieces.Lattice(model)
+    for i, text in enumerate(texts):
+        want = [(score, list(map(int, memoryview(ids).cast("i")))) for score, ids in lattice.encode(text or "", 4)]
+        assert [(got[i].score, got[i].ids), *((x.score, x.ids) for x in got[i].further)] == want
+    for i in (0, 1):
+        exact = lattice.search(lattice.normalised(texts[i]), 4)
+        assert [round(x.score, 3) for x in got[i].further] == [round(score, 3) for score, _ in exact[1:]] and len(got[i].further) == 3
+    assert [len(got[i].further) for i in (3, 4)] == [0, 0]
+
+
 def test_run_leaves_its_result_alone(spark):
     import os
 
