@@ -24,3 +24,26 @@ def test_entry_has_every_query(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(registry.QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.fixture
+def odd(spark, tmp_path):
+    """Runs a query and its SQL over pages (page_id, url, html) of the test's own."""
+    import duckdb
+
+    def same(name, rows):
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+        db = duckdb.connect()
+        db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        same_rows(registry.QUERIES[name](spark, str(tmp_path)).toPandas(), db.sql(registry.SQL[name]).df())
+
+    return same
+
+
+HEAD = "Says &quot;so&quot; and &amp"
+CUT = f"<html><head><title>{HEAD}</title></head><body><article><h1>{HEAD}</h1><p>{'Prose of the page &amp; more. ' * 40}</p></article></body></html>"
+
+
+@pytest.mark.parametrize("name", ["articles_selected"])
+def test_references_cut_short(odd, name):
+    odd(name, [(1, "https://a.b/x", CUT)])
