@@ -44,6 +44,6 @@ HEAD = "Says &quot;so&quot; and &amp"
 CUT = f"<html><head><title>{HEAD}</title></head><body><article><h1>{HEAD}</h1><p>{'Prose of the page &amp; more. ' * 40}</p></article></body></html>"
 
 
-@pytest.mark.parametrize("name", ["articles_selected", "selector_candidates"])
+@pytest.mark.parametrize("name", ["articles_selected", "selected_html", "selector_candidates"])
 def test_references_cut_short(odd, name):
     odd(name, [(1, "https://a.b/x", CUT)])
