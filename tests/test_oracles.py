@@ -47,3 +47,8 @@ CUT = f"<html><head><title>{HEAD}</title></head><body><article><h1>{HEAD}</h1><p
 @pytest.mark.parametrize("name", ["articles_selected", "selected_html", "selector_candidates"])
 def test_references_cut_short(odd, name):
     odd(name, [(1, "https://a.b/x", CUT)])
+
+
+def test_an_answer_wins_over_the_longest_page(odd):
+    page = f"<html><body><article>{'<p>Some prose, of the page, that goes on and on.</p>' * 4000}</article></body></html>"
+    odd("fetch_cascade", [(3, "https://a.b/x", page), (6, "https://a.b/y", page[:4000]), (7, "https://a.b/z", page)])
