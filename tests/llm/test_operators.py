@@ -1025,3 +1025,20 @@ def test_personal_data_empty(spark):
 
 def test_one_query_each():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
+
+
+def test_pairs_of_one_node_are_visited_by_size():
+    rng = np.random.default_rng(7)
+    n = 900
+    run, size, label = np.repeat([0, 1, 4], n // 3), np.exp(rng.uniform(0, 9, n)).astype(np.int64) + 1, rng.integers(0, n // 2, n)
+    low = rng.integers(0, 256, (n, dedup.SLOTS), dtype=np.uint8)
+    twins = rng.permutation(n // 2) * 2
+    low[twins + 1, 20:], size[twins + 1] = low[twins, 20:], size[twins]
+    i, j = np.triu_indices(n, 1)
+    may = (run[i] == run[j]) & (5 * size[i] >= 4 * size[j]) & (5 * size[j] >= 4 * size[i])
+    linked = may & (label[i] != label[j]) & ((low[i] == low[j]).sum(1) >= dedup.LEAST)
+    got = {tuple(sorted(p)) for xs, ys in dedup.neighbours(run, label, size, low) for p in zip(xs.tolist(), ys.tolist(), strict=True)}
+    assert got == set(zip(i[linked].tolist(), j[linked].tolist(), strict=True))
+    order, end = dedup.windows(run, size)
+    assert sorted(order) == list(range(n))
+    assert (end - np.arange(n) - 1).sum() == may.sum() < n * n // 60  # in place of every pair of a node
